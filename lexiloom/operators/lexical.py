@@ -34,12 +34,15 @@ def copy_members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def distinct_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, copies, text) with one row per distinct text."""
     reps = copy_groups(docs, doc_id, text).select(F.col("rep_id").alias("id"), "copies")
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(reps, "id")
+    # The hint moves each text once and balances it over the tasks that tokenise it, also when
+    # the input is a single file; the build side holds two numbers per distinct text.
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(reps.hint("shuffle_hash"), "id")
 
 
 def term_counts(docs: DataFrame, tokens: Column, *keys: str) -> DataFrame:
     """(keys..., term, n): occurrences of each term."""
-    exploded = docs.select(*keys, F.explode(tokens).alias("term"))
+    # A plain explode would make the optimizer tokenise once more, in a filter below the join.
+    exploded = docs.select(*keys, F.explode_outer(tokens).alias("term")).where(F.col("term").isNotNull())
     return exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lexiloom.operators import lexical
+from lexiloom.session import settle
 
 SLACK = 1e-9
 HOT_KEY_ROWS = 20000
@@ -53,10 +54,26 @@ def ranked_vectors(weights: DataFrame, kind: str) -> DataFrame:
     return unit.withColumn("rest", F.greatest(F.col("here") - F.col("w"), F.lit(0.0)))
 
 
-def prefix_postings(ranked: DataFrame, kind: str, threshold: float) -> DataFrame:
+def indexed_vectors(weights: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """One settled row per document: (id, vec, tail, prefix).
+
+    ``vec`` holds (term, w) sorted by term, ``prefix`` the entries that can carry a pair over the
+    threshold, ``tail`` what is left behind the prefix. All are bounded by the document's own
+    vocabulary. The join reads the prefixes twice and the scoring reads the vectors twice, hence
+    the table is written once.
+    """
     here = F.col("here")
-    bound = here if kind == "cosine" else jsd_part(here, F.lit(1.0))
-    return ranked.where(bound >= threshold - SLACK).select("term", "df", "id", "w", "rest")
+    inside = (here if kind == "cosine" else jsd_part(here, F.lit(1.0))) >= threshold - SLACK
+    packed = ranked_vectors(weights, kind).groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("term", "w"))).alias("vec"),
+        F.collect_list(F.when(inside, F.struct("term", "df", "w", "here", "rest"))).alias("prefix"),
+        F.coalesce(F.max(F.when(~inside, here)), F.lit(0.0)).alias("tail"),
+    )
+    return settle(packed)
+
+
+def prefix_postings(indexed: DataFrame) -> DataFrame:
+    return indexed.select("id", "tail", F.inline("prefix"))
 
 
 def spread_self_join(
@@ -82,41 +99,61 @@ def spread_self_join(
     return a.join(b, on & condition)
 
 
-def candidate_pairs(ranked: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """Distinct (id1, id2) that may reach the threshold: a superset of the result."""
-    postings = prefix_postings(ranked, kind, threshold)
-    bound = _contribution(kind, F.col("a.w"), F.col("b.w")) + _rest_bound(kind, F.col("a.rest"), F.col("b.rest"))
-    met = spread_self_join(postings, ["term"], "df", bound >= threshold - SLACK)
-    return met.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).distinct()
+def candidate_pairs(indexed: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """Distinct (id1, id2) that may reach the threshold: a superset of the result.
+
+    Every meeting must leave room for the threshold given what lies before and after it. Per
+    pair, the exact score over the met prefix terms plus a bound on the rest must reach it: any
+    other shared term lies behind the last one met and behind one of the two prefixes.
+    """
+    def before(side: str) -> Column:
+        here = F.col(f"{side}.here")
+        lost = 1.0 - (here * here if kind == "cosine" else here)
+        room = F.greatest(lost, F.lit(0.0))
+        return F.sqrt(room) if kind == "cosine" else room
+
+    part = _contribution(kind, F.col("a.w"), F.col("b.w"))
+    room = _rest_bound(kind, before("a"), before("b")) + part + _rest_bound(kind, F.col("a.rest"), F.col("b.rest"))
+    met = spread_self_join(prefix_postings(indexed), ["term"], "df", room >= threshold - SLACK)
+    per_pair = met.groupBy(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).agg(
+        F.sum(part).alias("score"),
+        F.min("a.rest").alias("rest1"),
+        F.min("b.rest").alias("rest2"),
+        F.min("a.tail").alias("tail1"),
+        F.min("b.tail").alias("tail2"),
+    )
+    open_rest = F.greatest(
+        _rest_bound(kind, F.least("tail1", "rest1"), F.col("rest2")),
+        _rest_bound(kind, F.col("rest1"), F.least("tail2", "rest2")),
+    )
+    return per_pair.where(F.col("score") + open_rest >= threshold - SLACK).select("id1", "id2")
 
 
-def packed_vectors(ranked: DataFrame, *columns: str) -> DataFrame:
-    """One sorted array of (term, weight...) per document; as large as the document's own vocabulary."""
-    fields = ["term", *(columns or ("w",))]
-    return ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("vec"))
+def packed_vectors(weights: DataFrame) -> DataFrame:
+    """(id, vec): one array of (term, w) sorted by term per document."""
+    return weights.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("vec"))
 
 
 def merged_sum(left: Column, right: Column, part) -> Column:
-    """Sum of part(a, b) over the terms two packed vectors share.
+    """Sum of part(a, b) over the weights of the terms two packed vectors share.
 
-    The concatenation is sorted, so a shared term stands twice in a row: one linear pass and no
-    explode. ``part`` receives the two entries in either order.
+    The concatenation is sorted once, so a shared term stands twice in a row: a single linear
+    pass, no explode and no further shuffle.
     """
-    both = F.array_sort(F.concat(left, right))
-    shifted = F.slice(both, F.lit(2), F.greatest(F.size(both) - 1, F.lit(0)))
-    terms = F.zip_with(
-        both,
-        shifted,
-        lambda x, y: F.when(x["term"] == y["term"], part(x, y)).otherwise(F.lit(0.0)),
-    )
-    return F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
+    start = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("w"), F.lit(0.0).alias("total"))
+
+    def step(acc: Column, x: Column) -> Column:
+        gain = F.when(acc["term"] == x["term"], part(acc["w"], x["w"])).otherwise(F.lit(0.0))
+        return F.struct(x["term"].alias("term"), x["w"].alias("w"), (acc["total"] + gain).alias("total"))
+
+    return F.aggregate(F.sort_array(F.concat(left, right)), start, step, lambda acc: acc["total"])
 
 
 def score_pairs(candidates: DataFrame, vectors: DataFrame, kind: str, name: str = "sim") -> DataFrame:
     """Exact similarity of each candidate pair; other candidate columns are kept."""
     a = vectors.select(F.col("id").alias("id1"), F.col("vec").alias("vec1"))
     b = vectors.select(F.col("id").alias("id2"), F.col("vec").alias("vec2"))
-    value = merged_sum(F.col("vec1"), F.col("vec2"), lambda x, y: _contribution(kind, x["w"], y["w"]))
+    value = merged_sum(F.col("vec1"), F.col("vec2"), lambda x, y: _contribution(kind, x, y))
     return (
         candidates.join(a, "id1")
         .join(b, "id2")
@@ -129,9 +166,9 @@ def similar_pairs(weights: DataFrame, kind: str, threshold: float) -> DataFrame:
     """(id1, id2, sim) over distinct texts with sim >= threshold; threshold must be positive."""
     if threshold <= 0:
         raise ValueError("a threshold of 0 or less asks for every pair; use small_all_pairs")
-    ranked = ranked_vectors(weights, kind)
-    found = candidate_pairs(ranked, kind, threshold)
-    scored = score_pairs(found, packed_vectors(ranked), kind)
+    indexed = indexed_vectors(weights, kind, threshold)
+    found = candidate_pairs(indexed, kind, threshold)
+    scored = score_pairs(found, indexed.select("id", "vec"), kind)
     return scored.where(F.col("sim") >= threshold).select("id1", "id2", "sim")
 
 
