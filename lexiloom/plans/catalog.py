@@ -1,4 +1,4 @@
 """Imports every plan module so that its queries are registered."""
 
-from lexiloom.plans import corpora, dedup, graphs, lexical  # noqa: F401
+from lexiloom.plans import corpora, dedup, graphs, lexical, segmentation  # noqa: F401
 from lexiloom.plans.registry import COVERS, ORACLES, QUERIES  # noqa: F401
