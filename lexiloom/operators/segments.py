@@ -23,8 +23,9 @@ TFIDF_THRESHOLD = 0.45
 PROMINENCE_SHARE = 0.2
 RRF_K = 60
 
-_BODY = f"(?:[^{TERMINATORS}\n{QUOTE_OPENERS}]+|{QUOTED}|[{QUOTE_OPENERS}])"
-PIECE_PATTERN = f"{_BODY}*(?:[{TERMINATORS}]+|\n)|{_BODY}+"
+# Possessive quantifiers keep the walk linear where no terminator follows.
+_BODY = f"(?:[^{TERMINATORS}\n{QUOTE_OPENERS}]++|{QUOTED}|[{QUOTE_OPENERS}])"
+PIECE_PATTERN = f"{_BODY}*+(?:[{TERMINATORS}]++|\n)|{_BODY}++"
 
 
 def pieces(text: Column) -> Column:
