@@ -33,7 +33,9 @@ def fnv1a(col: Column) -> Column:
         return F.when(code <= 255, F.array(low)).when(code <= 65535, F.array(low, mid)).otherwise(F.array(low, mid, high))
 
     codes = F.flatten(F.transform(F.split(col, ""), bytes_of))
-    return F.aggregate(codes, _big(FNV_OFFSET), fold).bitwiseAND(_big(MASK_31))
+    # Splitting an empty string yields one empty character, which is no byte.
+    state = F.when(col == "", _big(FNV_OFFSET)).otherwise(F.aggregate(codes, _big(FNV_OFFSET), fold))
+    return state.bitwiseAND(_big(MASK_31))
 
 
 def hash_family(count: int = NUM_HASHES) -> list[tuple[int, int]]:
