@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexiloom.functions import hashing
 from lexiloom.operators.pairs import spread_self_join
+from lexiloom.session import settle
 
 NUM_HASHES = hashing.NUM_HASHES
 
@@ -36,11 +37,14 @@ def jaccard_estimate(left: Column, right: Column) -> Column:
 
 
 def signature_groups(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(representatives, members): documents with one signature are handled as one."""
-    keyed = sigs.withColumn("key", hashing.content_hash(F.array_join("sig", ",")))
+    """(representatives, members): documents with one signature are handled as one.
+
+    Signatures are costly and read many times, so they are written once.
+    """
+    keyed = settle(sigs).withColumn("key", hashing.content_hash(F.array_join("sig", ",")))
     reps = keyed.groupBy("key").agg(F.min("id").alias("rep_id"))
     members = keyed.select("id", "key").join(reps, "key").select("id", "rep_id")
-    chosen = sigs.join(reps.select(F.col("rep_id").alias("id")), "id", "left_semi")
+    chosen = keyed.select("id", "sig").join(reps.select(F.col("rep_id").alias("id")), "id", "left_semi")
     return chosen, members
 
 
