@@ -163,7 +163,7 @@ def ranked_matches(scores):
 
 @register(
     "act_attribution",
-    "E8 J33",
+    "E8 J33 D25",
     f"WITH {ACT_SQL} SELECT conv_id, act, impl, sim FROM sm WHERE sim > 0",
 )
 def act_attribution(spark, sf):

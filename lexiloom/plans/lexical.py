@@ -12,7 +12,7 @@ from lexiloom.plans.registry import register, table_fn
 T = 0.8
 
 
-@register("term_frequency", "A1", f"WITH {sp.tf()} SELECT id, term, n FROM tf")
+@register("term_frequency", "A1 D5", f"WITH {sp.tf()} SELECT id, term, n FROM tf")
 def term_frequency(spark, sf):
     docs = table_fn(spark, sf)("documents").withColumnRenamed("doc_id", "id")
     return lx.term_counts(docs, tx.word_tokens(F.col("text")), "id")
