@@ -3,11 +3,15 @@
 Documents are sets of five-word shingles; two link when 100 * intersection >= 80 * union.
 
 1. Equal sets are folded into classes; the smallest doc_id stands for its class.
-2. Every set posts its first n - ceil(0.8 n) + 1 shingles in one global order. Linked sets share a
-   posted shingle, whatever the order; the order (frequency level from a fixed-size count sketch over
-   all documents, then hash) sends widespread passages to the end, where they are not posted.
-3. A posted shingle routes its documents to a hub, its smallest document. Hubs of more than ``BLOCK``
-   documents are dealt into blocks by size class and hash; only blocks whose size ranges can link meet.
+2. Every set posts its first n - ceil(0.8 n) + least(n) shingles in one global order, where least(n)
+   is a tenth of n. Two linked sets share the first least(smaller) of their common shingles in both
+   postings, whatever the order; the order (frequency level from a fixed-size count sketch over all
+   documents, then hash) sends widespread passages to the end, where they are not posted.
+3. A posted shingle routes its documents to a hub, its smallest document. A document with fewer shared
+   shingles than any partner could ask of it leaves; the others may leave hubs with less than half
+   of that many shingles in all, as two linked sets then still meet in another hub. So documents that
+   share a passage only are not compared. Hubs of more than ``BLOCK`` documents are dealt into blocks
+   by size class and hash; only blocks whose size ranges can link meet.
 4. Each meeting of blocks builds signature trees: leaves hold token bitmaps and sizes, inner nodes the
    OR of their children's bitmaps and the range of their sizes. A dual traversal drops node pairs whose
    largest possible overlap is too small; surviving leaf pairs are verified on the sets themselves.
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lexiloom.llm import shingles as sh
 from lexiloom.operators.components import connected_components
@@ -96,14 +100,37 @@ def described(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 # --- candidates ------------------------------------------------------------------------------
 
 
+def least(n):
+    """How many posted shingles two linked sets have in common at least, if n is the smaller size."""
+    return (n + 9) // 10
+
+
 def prefix(items: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The shingles a set posts: its first n - ceil(0.8 n) + 1 by frequency level, then hash."""
+    """The shingles a set posts, its first ones by frequency level, then hash."""
     n = len(items)
-    keep = n - (80 * n + 99) // 100 + 1
+    keep = n - (80 * n + 99) // 100 + least(n)
     level = levels[(items >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
     return items[np.argsort(level, kind="stable")[:keep]]
 
 
+def routed(routes: DataFrame) -> DataFrame:
+    """(id, hub, n, copies) that have to be kept of (id, hub, keys, n, copies).
+
+    A partner of a set of size n has at least ceil(0.8 n) shingles, so the two share ``need`` of n's
+    posted shingles. Each side may leave hubs with (need - 1) / 2 shingles in all: what both leave is
+    less than what they share.
+    """
+    need = F.expr("(((80 * n + 99) DIV 100) + 9) DIV 10")
+    own = Window.partitionBy("id")
+    kept = routes.select(
+        "*",
+        need.alias("need"),
+        F.sum("keys").over(own).alias("total"),
+        F.sum("keys").over(own.orderBy("keys", "hub").rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"),
+    )
+    return kept.where("total >= need AND so_far > (need - 1) DIV 2").select("id", "hub", "n", "copies")
+
+
 def _postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -122,8 +149,24 @@ def _postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(post, "key bigint, id bigint")
 
 
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, items) of the documents whose ids are among ``ids``, and of few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(sh.id_bitmap(ids))
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[sh.in_bitmap(shared.value, pdf["position"].to_numpy())]
+            sets = [sh.shingle_set(t).tobytes() for t in pdf["text"]]
+            out = pd.DataFrame({"id": pdf["id"].to_numpy(), "items": pd.Series(sets, dtype=object)})
+            yield out[out["items"].str.len() > 0]
+
+    position = F.pmod(F.xxhash64("doc_id"), F.lit(1 << sh.ID_BITS)).alias("position")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text", position)
+    return texts.mapInPandas(build, "id bigint, items binary")
+
+
 def meetings(routes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(id, hubs, meets) from (id, hub, n): the hubs of a set and the meetings it attends.
+    """(id, copies, hubs, meets) from (id, hub, n, copies): a set's hubs and the meetings it attends.
 
     A meeting is (hub, c1, b1, c2, b2): block b1 of size class c1 against block b2 of class c2. Hubs
     of at most ``block`` sets are one meeting. Size classes are powers of 1.26, so sets that link
@@ -139,7 +182,7 @@ def meetings(routes: DataFrame, block: int = BLOCK) -> DataFrame:
     big = F.col("k") > block
     count = lambda c: F.coalesce(F.try_element_at("nbs", c), F.lit(0))
     b = F.when(big, F.pmod(F.xxhash64("id"), count(F.col("c"))).cast("int")).otherwise(0)
-    r = r.select("id", "hub", "c", "nbs", big.alias("big"), b.alias("b"))
+    r = r.select("id", "copies", "hub", "c", "nbs", big.alias("big"), b.alias("b"))
 
     def against(step: int):
         other = F.col("c") + step
@@ -159,12 +202,12 @@ def meetings(routes: DataFrame, block: int = BLOCK) -> DataFrame:
     zero = F.lit(0)
     alone = F.array(F.struct(F.col("hub").alias("hub"), *(zero.alias(a) for a in ("c1", "b1", "c2", "b2"))))
     r = r.select(
-        "id", "hub", F.when(F.col("big"), F.concat(against(-1), against(0), against(1))).otherwise(alone).alias("meets"),
+        "id", "copies", "hub", F.when(F.col("big"), F.concat(against(-1), against(0), against(1))).otherwise(alone).alias("meets"),
         F.when(F.col("big"), F.col("c")).otherwise(0).alias("c"), "b",
     )
     entry = F.struct("hub", "c", "b", "meets")
-    return r.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("routes")).select(
-        "id",
+    return r.groupBy("id", "copies").agg(F.array_sort(F.collect_list(entry)).alias("routes")).select(
+        "id", "copies",
         F.transform("routes", lambda x: x["hub"]).alias("hubs"),
         F.flatten(
             F.transform("routes", lambda x: F.transform(x["meets"], lambda m: F.struct(m.alias("m"), x["c"].alias("c"), x["b"].alias("b"))))
@@ -358,15 +401,8 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     classes = real.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = classes.groupBy("rep").agg(F.max("n").alias("n"), F.sum("copies").alias("copies"))
     routes = sh.hubs(_postings(docs, levels)).join(reps.select(F.col("rep").alias("id"), "n", "copies"), "id")
-    routes = settle(routes)
-    met = meetings(routes.select("id", "hub", "n")).join(
-        reps.select(F.col("rep").alias("id"), "copies"), "id"
-    )
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    members = texts.join(met, "id").select("id", "copies", "hubs", "meets", sh.set_column("text").alias("items")).where(
-        "length(items) > 0"
-    )
-    labels = class_labels(compare_sets(members))
+    met = settle(meetings(routed(routes)))
+    labels = class_labels(compare_sets(_sets(docs, met.select("id")).join(met, "id")))
     known = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "d1", "d2", "n",
         F.coalesce("component", "rep").alias("component_id"),

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql import DataFrame, Window, functions as F
 
 WIDTH = 5
+ID_BITS = 24
 _M64 = (1 << 64) - 1
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, 2 * j + 1, 1 << 64) for j in range(WIDTH)], dtype=np.uint64)
 
@@ -52,21 +51,35 @@ def digest(items: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-@F.pandas_udf(BinaryType())
-def set_column(texts: pd.Series) -> pd.Series:
-    """The shingle set of each text as packed little-endian longs."""
-    return pd.Series([shingle_set(t).tobytes() for t in texts], dtype=object)
-
-
 def hubs(postings: DataFrame) -> DataFrame:
-    """(id, hub), distinct, from (key, id): hub is the smallest id that shares one of id's keys.
+    """(id, hub, keys) from (key, id): hub is the smallest id that shares one of id's keys, keys how
+    many of id's keys lead to it.
 
     Ids with a common key have a common hub, and an id has far fewer hubs than keys: members of a
     group of copies mostly meet under the smallest member. Keys with one id fall away. A window
     over the key is one shuffle of (key, id) rows; no group is collected.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("key")
     low, high = F.min("id").over(w), F.max("id").over(w)
-    return postings.select("id", low.alias("hub"), high.alias("high")).where("hub < high").select("id", "hub").distinct()
+    shared = postings.select("id", low.alias("hub"), high.alias("high")).where("hub < high")
+    return shared.groupBy("id", "hub").agg(F.count(F.lit(1)).alias("keys"))
+
+
+def id_bitmap(ids: DataFrame) -> np.ndarray:
+    """A fixed 2^24-bit map of hashed ids, as packed bytes: a filter before a shuffle.
+
+    Its size does not depend on the data; with many ids it lets more rows through, never fewer.
+    """
+    position = F.pmod(F.xxhash64("id"), F.lit(1 << ID_BITS))
+    rows = ids.select((position + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")
+    )
+    out = np.zeros((1 << ID_BITS) // 8, dtype=np.uint8)
+    for row in rows.collect():
+        at = (row["k"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, position: np.ndarray) -> np.ndarray:
+    return (bits[position >> 3] >> (position & 7).astype(np.uint8)) & 1 == 1
