@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lexiloom.plans.registry import table_fn
 
 QUERIES: dict = {}
@@ -35,3 +37,115 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.m AS component_id, coalesce(l.k, 0)::BIGINT AS n_links
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) c ON c.a = d.doc_id
 LEFT JOIN (SELECT a, count(*) AS k FROM links GROUP BY a) l ON l.a = d.doc_id"""
+
+
+@query
+def op2_bpe_encoding(spark, sf):
+    import public_tokenizers
+
+    from lexiloom.llm.bpe import digest_columns, encode_documents
+
+    coded = encode_documents(table_fn(spark, sf)("documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select("doc_id", *digest_columns(F.col("ids"), F.col("decoded")))
+
+
+@query
+def op3_document_fingerprints(spark, sf):
+    from lexiloom.llm.winnowing import fingerprints
+
+    return fingerprints(table_fn(spark, sf)("documents")).drop("hashes", "positions")
+
+
+@query
+def op4_source_mixing(spark, sf):
+    from lexiloom.llm.mixing import taken_words
+
+    return taken_words(table_fn(spark, sf)("documents"))
+
+
+@query
+def op5_chat_formatting(spark, sf):
+    from lexiloom.llm import chat
+
+    given = table_fn(spark, sf)("conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
+    )
+    rows = given.unionByName(extra).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
+    made = chat.format_messages(rows)
+    turns, masked = chat.read_turns(F.col("formatted")), chat.read_masked(F.col("formatted"), F.col("loss_spans"))
+    made = made.select("conv_id", "formatted", turns.alias("turns"), masked.alias("masked"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["content"], F.lit("\n"))), "")
+    return made.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("masked").cast("bigint").alias("loss_chars"),
+        F.sha2("masked", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+ORACLES["op5_chat_formatting"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+e AS (SELECT *, replace(replace(text, '\', '\b'), '<', '\l') AS x FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, x)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, x) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ sum(length('<turn>' || replace(replace(role, '\', '\b'), '<', '\l') || '<say>' || x || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+@query
+def op6_substring_dedup(spark, sf):
+    from lexiloom.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(table_fn(spark, sf)("documents"))
+
+
+@query
+def op7_toxicity(spark, sf):
+    from lexiloom.llm.toxicity import toxic_documents
+
+    table = table_fn(spark, sf)
+    return toxic_documents(table("documents"), table("labels"))
+
+
+@query
+def op8_exact_topk(spark, sf):
+    from lexiloom.llm.topk import top_k
+
+    return top_k(table_fn(spark, sf)("embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op8_exact_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS g FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.g, c.g), lambda p: p[1] * p[2]))::BIGINT AS score
+ FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query
+def op9_quality_classifier(spark, sf):
+    from lexiloom.llm.quality import selected
+
+    table = table_fn(spark, sf)
+    return selected(table("documents").select("doc_id", "text"), table("labels")).select("doc_id", "quality_score.*")
+
+
+@query
+def op10_personal_data(spark, sf):
+    from lexiloom.llm import pii
+
+    found = pii.personal_data(table_fn(spark, sf)("documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *(pii.counted(F.col("pii_base"), k).alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(pii.listed(F.col("pii_base")), 256).alias("base_sha256"),
+        pii.listed(F.col("pii_spans")).alias("spans"),
+    )
