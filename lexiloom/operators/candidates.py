@@ -1,38 +1,23 @@
-"""Candidate plans for a user-supplied pair score."""
+"""Candidates for a user-supplied pair score."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from lexiloom.functions import text as tx
-from lexiloom.operators import lexical as lx, minhash as mh, pairs as pr
-
-
-def candidate_plan(docs: DataFrame) -> str:
-    """Which candidate generator fits the corpus, from a count bounded by a limit."""
-    seen = docs.limit(pr.TERM_INDEX_MAX + 1).count()
-    if seen <= pr.BRUTE_FORCE_MAX:
-        return "all"
-    return "terms" if seen <= pr.TERM_INDEX_MAX else "lsh"
+from lexiloom.operators import lexical as lx, pairs as pr
 
 
 def prefiltered_scores(docs: DataFrame, threshold: float, score, keep: float | None = None) -> DataFrame:
     """(id1, id2, sim): candidates at half the threshold, scored by ``score(words1, words2)``.
 
-    Candidates come from all pairs of a handful of texts, from the term join, or from LSH.
+    Candidates are the pairs of distinct texts whose TF-IDF cosine reaches half the threshold, by the
+    exact term join at any size, and each copy with its representative.
     """
-    relaxed = threshold * pr.CANDIDATE_RELAXATION
-    texts = lx.distinct_texts(docs)
-    plan = candidate_plan(docs)
-    if plan == "all":
-        found = pr.small_all_pairs(texts)
-    elif plan == "terms":
-        weights, kind = pr.strategy_weights(docs, "tfidf")
-        found = pr.similar_pairs(weights, kind, relaxed).select("id1", "id2")
-    else:
-        sigs, _ = mh.signature_groups(mh.signatures(lx.corpus_tf(docs)))
-        found = mh.candidate_pairs(sigs, *mh.band_parameters(relaxed))
-    words = texts.select("id", tx.word_tokens(F.col("text")).alias("words"))
+    weights, kind = pr.strategy_weights(docs, "tfidf")
+    near = pr.similar_pairs(weights, kind, threshold * pr.CANDIDATE_RELAXATION)
+    found = pr.with_copies(near, lx.copy_members(docs)).select("id1", "id2")
+    words = docs.select(F.col("doc_id").alias("id"), tx.word_tokens(F.col("text")).alias("words"))
     a, b = words.toDF("id1", "w1"), words.toDF("id2", "w2")
     scored = found.join(a, "id1").join(b, "id2").select("id1", "id2", score("w1", "w2").alias("sim"))
     return scored.where(F.col("sim") >= (threshold if keep is None else keep))

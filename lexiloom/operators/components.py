@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from lexiloom.session import settle
 
 
-def connected_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(pairs: DataFrame) -> DataFrame:
     """(id, component): the smallest member id labels each component of (id1, id2) edges.
 
     Alternates large-star and small-star rewiring, so the rounds grow with the logarithm of the
@@ -21,7 +21,7 @@ def connected_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     state = digest(edges)
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: larger neighbours move to the smallest neighbour.
@@ -36,15 +36,13 @@ def connected_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     roots = edges.select(F.col("v").alias("id")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         roots.select("id", F.col("id").alias("component"))
     )
 
 
-def greedy_stars(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
+def greedy_stars(pairs: DataFrame) -> DataFrame:
     """(id, centre): in ascending order each unassigned node takes its unassigned neighbours.
 
     Nodes without a smaller open neighbour become centres together, round by round; that gives
@@ -54,7 +52,7 @@ def greedy_stars(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
     nodes = edges.select(F.col("id1").alias("id")).unionByName(edges.select(F.col("id2").alias("id"))).distinct()
     done = settle(nodes.select("id", F.lit(None).cast(nodes.schema["id"].dataType).alias("centre")).where(F.lit(False)))
     open_nodes = settle(nodes)
-    for _ in range(max_rounds):
+    while True:
         live = edges.join(open_nodes.select(F.col("id").alias("id1")), "id1", "left_semi").join(
             open_nodes.select(F.col("id").alias("id2")), "id2", "left_semi"
         )
@@ -70,7 +68,6 @@ def greedy_stars(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
         open_nodes = settle(open_nodes.join(fresh.select("id"), "id", "left_anti"))
         if open_nodes.isEmpty():
             return done
-    raise RuntimeError("stars did not settle; raise max_rounds")
 
 
 def component_sizes(labels: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lexiloom.functions import hashing
@@ -12,14 +14,14 @@ def of_kind(edges: DataFrame, *kinds: str) -> DataFrame:
     return edges.where(F.col("kind").isin(*kinds))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_rounds: int = 1000) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, depth): nodes reachable from ``seeds`` (id) with their smallest depth, seeds at 0.
 
     Frontier rounds: each joins only the last layer with the edges and drops visited nodes.
     """
     frontier = settle(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     layers = frontier
-    for depth in range(1, (max_depth if max_depth is not None else max_rounds) + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = edges.join(frontier.select(F.col("id").alias("src")), "src", "left_semi")
         fresh = step.select(F.col("dst").alias("id")).distinct().join(layers.select("id"), "id", "left_anti")
         frontier = settle(fresh.withColumn("depth", F.lit(depth)))
@@ -28,8 +30,6 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_
         layers = layers.unionByName(frontier)
         if depth % 8 == 0:
             layers = settle(layers)
-    if max_depth is None:
-        raise RuntimeError("the closure did not settle; raise max_rounds")
     return layers
 
 
@@ -37,7 +37,7 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def depth_from_leaves(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def depth_from_leaves(edges: DataFrame) -> DataFrame:
     """(id, depth): 0 for nodes without successors, else one more than the deepest successor.
 
     Nodes on a cycle, or that lead into one, cannot be ordered and get a null depth. Each round
@@ -50,7 +50,7 @@ def depth_from_leaves(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     )
     frontier = settle(leaves.withColumn("depth", F.lit(0)))
     done = frontier
-    for _ in range(max_rounds):
+    for depth in count(1):
         news = (
             links.join(frontier.select(F.col("id").alias("dst"), "depth"), "dst")
             .groupBy("src")
@@ -68,10 +68,12 @@ def depth_from_leaves(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         if frontier.isEmpty():
             break
         done = done.unionByName(frontier)
+        if depth % 8 == 0:
+            done = settle(done)
     return done.unionByName(open_nodes.select(F.col("src").alias("id"), F.lit(None).cast("int").alias("depth")))
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component) of nodes that lie on a cycle; the smallest member names the component.
 
     Trims nodes without predecessors or successors, colours the rest with the smallest id that
@@ -79,8 +81,8 @@ def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """
     links = settle(edges.select("src", "dst").where("src <> dst").distinct())
     found = None
-    for _ in range(max_rounds):
-        links = _trim(links, max_rounds)
+    while True:
+        links = _trim(links)
         if links.isEmpty():
             break
         nodes = links.select(F.col("src").alias("id")).distinct()
@@ -113,9 +115,9 @@ def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     return found.join(sizes, "component", "left_semi").select("id", "component")
 
 
-def _trim(links: DataFrame, max_rounds: int) -> DataFrame:
+def _trim(links: DataFrame) -> DataFrame:
     left = links.count()
-    for _ in range(max_rounds):
+    while True:
         kept = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         kept = settle(kept.join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         now = kept.count()
@@ -123,7 +125,6 @@ def _trim(links: DataFrame, max_rounds: int) -> DataFrame:
         if now == left:
             return links
         left = now
-    return links
 
 
 def circular_edges(edges: DataFrame) -> DataFrame:

@@ -177,10 +177,9 @@ def no_pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("id1"), F.col("id").alias("id2"), F.lit(1.0).alias("sim")).where(F.lit(False))
 
 
-# Document counts at which the candidate plan changes, and its relaxation.
-BRUTE_FORCE_MAX = 10
-TERM_INDEX_MAX = 199
+# Fixed value: the share of the threshold at which candidates for a user score are taken.
 CANDIDATE_RELAXATION = 0.5
+BRUTE_FORCE_MAX = 10
 
 
 def small_all_pairs(rows: DataFrame, id_col: str = "id", limit: int = BRUTE_FORCE_MAX) -> DataFrame:

@@ -52,10 +52,17 @@ def minhash_signatures(spark, sf):
     return _sigs(spark, sf).select("id", F.posexplode("sig").alias("i", "v"))
 
 
-@register("lsh_candidate_pairs", "J10 J9 D10", f"WITH {SIGS}, {B5} SELECT * FROM cand")
+@register(
+    "lsh_candidate_pairs",
+    "J10 J9 D10",
+    f"""WITH {SIGS}, {B5} SELECT * FROM cand
+ UNION ALL SELECT rep_id, id FROM sv JOIN srep USING (sig) JOIN (SELECT min(doc_id) AS first_id FROM documents GROUP BY text) ON first_id = id WHERE id <> rep_id""",
+)
 def lsh_candidate_pairs(spark, sf):
-    sigs, _ = mh.signature_groups(_sigs(spark, sf))
-    return mh.candidate_pairs(sigs, *mh.band_parameters(LSH_T))
+    """Pairs of signatures that share a bucket, and each text with the first one of its signature."""
+    sigs, members = mh.signature_groups(_sigs(spark, sf))
+    same = members.where("id <> rep_id").select(F.col("rep_id").alias("id1"), F.col("id").alias("id2"))
+    return mh.candidate_pairs(sigs, *mh.band_parameters(LSH_T)).unionByName(same)
 
 
 @register(
@@ -85,10 +92,10 @@ def jaccard_score():
 @register(
     "prefiltered_user_scores",
     "J12 U1 U2",
-    f"""WITH {SIGS}, {B5}, {sp.REPS},
+    f"""WITH {sp.tf()}, {sp.TFIDF_W}, {sp.COSINE}, {sp.REPS}, {sp.folded('sims', LSH_T)},
  st AS (SELECT id, list(DISTINCT term) AS terms FROM tf GROUP BY id),
  sc AS (SELECT id1, id2, round(len(list_intersect(x.terms, y.terms)) / len(list_distinct(list_concat(x.terms, y.terms)))::DOUBLE, 6) AS sim
-        FROM cand JOIN st x ON x.id = id1 JOIN st y ON y.id = id2)
+        FROM folded JOIN st x ON x.id = id1 JOIN st y ON y.id = id2)
  SELECT * FROM sc WHERE sim >= {2 * LSH_T - 0.2}""",
 )
 def prefiltered_user_scores(spark, sf):

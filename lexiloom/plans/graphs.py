@@ -86,10 +86,10 @@ def direct_dependents(spark, sf):
     return gr.of_kind(code_edges(spark, sf), "depends_on").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("dependents"))
 
 
-def _reach_sql(kind, seed, flip=False):
+def _reach_sql(kind, seed, flip=False, depth=64):
     a, b = ("dst", "src") if flip else ("src", "dst")
     return f"""WITH RECURSIVE {E_SQL}, k AS (SELECT DISTINCT {a} AS a, {b} AS b FROM edges WHERE kind IN {kind}),
- r(id, depth) AS (SELECT '{seed}', 0 UNION SELECT k.b, r.depth + 1 FROM r JOIN k ON k.a = r.id WHERE r.depth < 10)
+ r(id, depth) AS (SELECT '{seed}', 0 UNION SELECT k.b, r.depth + 1 FROM r JOIN k ON k.a = r.id WHERE r.depth < {depth})
  SELECT id, min(depth) AS depth FROM r GROUP BY id"""
 
 
@@ -106,7 +106,7 @@ def transitive_dependencies(spark, sf):
 @register("transitive_dependents", "G5 G8", _reach_sql("('depends_on')", "region:2", True))
 def transitive_dependents(spark, sf):
     edges = gr.of_kind(code_edges(spark, sf), "depends_on")
-    return gr.reach(gr.reversed_edges(edges).distinct(), _seed(spark, "region:2"), max_depth=10)
+    return gr.reach(gr.reversed_edges(edges).distinct(), _seed(spark, "region:2"))
 
 
 @register(
@@ -134,7 +134,7 @@ def call_degrees(spark, sf):
     return both.groupBy("id").agg(F.sum("o").alias("callees"), F.sum("i").alias("callers"))
 
 
-@register("call_chain", "G8", _reach_sql("('calls')", "order:1"))
+@register("call_chain", "G8", _reach_sql("('calls')", "order:1", depth=10))
 def call_chain(spark, sf):
     return gr.reach(gr.of_kind(code_edges(spark, sf), "calls"), _seed(spark, "order:1"), max_depth=10)
 

@@ -33,3 +33,13 @@ def test_every_oracle_has_a_query():
 def test_no_cartesian_product_in_the_similarity_join(spark):
     plan = QUERIES["tfidf_near_duplicates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and not re.search("BatchEvalPython", plan)
+
+
+def test_long_chains_and_cycles_settle(spark):
+    from lexiloom.operators import components, graph
+
+    chain = spark.range(12).selectExpr("id AS src", "id + 1 AS dst")
+    depth = {r["id"]: r["depth"] for r in graph.depth_from_leaves(chain).collect()}
+    assert depth == {i: 12 - i for i in range(13)}
+    found = components.connected_components(chain.selectExpr("src AS id1", "dst AS id2")).collect()
+    assert {r["component"] for r in found} == {0} and len(found) == 13

@@ -114,3 +114,17 @@ def test_tree_similarity(spark):
     found = tr.similar_trees(tr.markup_trees(pages), 0.5)
     got = {(r["id1"], r["id2"]): r["sim"] for r in found.collect()}
     assert got == {(1, 2): 0.666667, (1, 3): 0.75, (2, 3): 0.5}
+
+
+def test_user_scores_do_not_depend_on_corpus_size(spark):
+    from lexiloom.operators import candidates
+    from lexiloom.plans.dedup import jaccard_score
+
+    same = ["alpha beta gamma delta epsilon", "beta alpha gamma delta epsilon", "epsilon delta gamma beta alpha"]
+    rows = [(i, t) for i, t in enumerate([*same, same[0]])]
+    rest = [(100 + i, f"word{i}a word{i}b word{i}c word{i}d") for i in range(204)]
+    found = []
+    for n in (49, 204):
+        docs = spark.createDataFrame(rows + rest[:n], "doc_id bigint, text string")
+        found.append(sorted((r["id1"], r["id2"]) for r in candidates.prefiltered_scores(docs, 1.0, jaccard_score(), keep=0.8).collect()))
+    assert found[0] == found[1] == [(0, 1), (0, 2), (0, 3), (1, 2)]
