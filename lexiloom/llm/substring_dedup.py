@@ -83,10 +83,11 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not text:
                 continue
             lines = list(paragraphs(text))
+            hashes = sh.word_hashes(sh.words(text))
             if lines:
-                units = [_signed(np.unique(sh.shingle_hashes(sh.word_hashes(t))).tobytes()) for _, t in lines]
+                units = [_signed(np.unique(sh.shingle_hashes(hashes[a : a + len(t)])).tobytes()) for a, t in lines]
                 parts.append((i, 0, [a for a, _ in lines], [len(t) for _, t in lines], units))
-            at, digests = anchors(sh.word_hashes(sh.words(text)))
+            at, digests = anchors(hashes)
             if len(at):
                 parts.append((i, 1, at, np.full(len(at), MIN_WORDS), digests))
         if parts:
