@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType
 
 from lexiloom.llm import ngram_join as nj, shingles as sh
@@ -76,54 +76,52 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, total.view(np.int64)
 
 
+OCCURRENCES = "doc_id bigint, kind int, at bigint, n_words bigint, unit bigint, bands array<bigint>"
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of band keys for each set of shingle hashes."""
+    cuts = np.cumsum([0] + [len(s) for s in sets])[:-1]
+    items = np.concatenate(sets)
+    keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], len(sets), axis=0)
+    for k, seed in enumerate(_SEEDS):
+        column = keys[:, k // ROWS]
+        column[:] = sh.mix(column * np.uint64(3) + np.minimum.reduceat(sh.mix(items ^ seed), cuts))
+    return keys.view(np.int64)
+
+
 def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Paragraphs (kind 0, with their bands) and anchored windows (kind 1) in one pass over the texts."""
     for pdf in batches:
-        parts = []
+        parts, sets = [], []
         for i, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
             if not text:
                 continue
-            lines = list(paragraphs(text))
             hashes = sh.word_hashes(sh.words(text))
+            lines = [(a, len(t)) for a, t in paragraphs(text)]
             if lines:
-                units = [_signed(np.unique(sh.shingle_hashes(hashes[a : a + len(t)])).tobytes()) for a, t in lines]
-                parts.append((i, 0, [a for a, _ in lines], [len(t) for _, t in lines], units))
+                own = [np.unique(sh.shingle_hashes(hashes[a : a + n])) for a, n in lines]
+                sets += own
+                parts.append((i, 0, [a for a, _ in lines], [n for _, n in lines], [_signed(s.tobytes()) for s in own]))
             at, digests = anchors(hashes)
             if len(at):
                 parts.append((i, 1, at, np.full(len(at), MIN_WORDS), digests))
         if parts:
             sizes = [len(p[2]) for p in parts]
+            kind = np.repeat([p[1] for p in parts], sizes)
+            keys = iter(band_keys(sets) if sets else ())
             yield pd.DataFrame(
                 {
                     "doc_id": np.repeat([p[0] for p in parts], sizes),
-                    "kind": np.repeat([p[1] for p in parts], sizes),
+                    "kind": kind,
                     "at": np.concatenate([p[2] for p in parts]),
                     "n_words": np.concatenate([p[3] for p in parts]),
                     "unit": np.concatenate([p[4] for p in parts]),
+                    "bands": [next(keys) if k == 0 else None for k in kind.tolist()],
                 }
             )
 
 
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, id): the bands of each paragraph."""
-    for pdf in batches:
-        keys, ids = [], []
-        for text in pdf["text"]:
-            sets = [np.unique(sh.shingle_hashes(sh.word_hashes(t))) for _, t in paragraphs(text or "")]
-            if not sets:
-                continue
-            cuts = np.cumsum([0] + [len(s) for s in sets])[:-1]
-            items = np.concatenate(sets)
-            low = np.stack([np.minimum.reduceat(sh.mix(items ^ seed), cuts) for seed in _SEEDS])
-            for b in range(BANDS):
-                key = np.full(len(sets), b, dtype=np.uint64)
-                for row in low[b * ROWS : (b + 1) * ROWS]:
-                    key = sh.mix(key * np.uint64(3) + row)
-                keys.append(key.view(np.int64))
-                ids.append([_signed(s.tobytes()) for s in sets] if b == 0 else ids[-1])
-        if keys:
-            yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids)})
-
-
 def _colliding_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, items), distinct, of the paragraphs among ``ids``."""
     shared = docs.sparkSession.sparkContext.broadcast(sh.id_bitmap(ids.select("id")))
@@ -148,9 +146,10 @@ def _colliding_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return sets.where(known(position)).dropDuplicates(["id"])
 
 
-def paragraph_labels(docs: DataFrame) -> DataFrame:
-    """(unit, component) of paragraphs with a near copy of other words."""
-    routes = settle(sh.hubs(docs.select("text").mapInPandas(_bands, "key bigint, id bigint")))
+def paragraph_labels(docs: DataFrame, seen: DataFrame) -> DataFrame:
+    """(unit, component) of paragraphs with a near copy of other words. Equal ones are banded once."""
+    distinct = seen.where("kind = 0").select("unit", "bands").dropDuplicates(["unit"])
+    routes = settle(sh.hubs(distinct.select(F.explode("bands").alias("key"), F.col("unit").alias("id"))))
     sets = settle(_colliding_sets(docs, routes.select("id").distinct()))
     sized = sets.select("id", (F.length("items") / 8).cast("bigint").alias("n"))
     met = nj.meetings(routes.join(sized, "id").select("id", "hub", "n", F.lit(1).alias("copies")))
@@ -164,23 +163,20 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Every occurrence of a group that spans at least two documents has a row; ``removed`` is false for
     the first one, by doc_id and position. ``at`` is the first word, ``kind`` paragraph or window. Null
     and empty texts and null ids have no passages; rows that repeat a doc_id are one document; other
-    columns are ignored.
+    columns are ignored. Groups are aggregated map-side and joined back, so a passage in a third of all
+    documents meets in no single task: adaptive execution splits the skewed side of the join.
     """
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    seen = docs.mapInPandas(_occurrences, "doc_id bigint, kind int, at bigint, n_words bigint, unit bigint")
-    lines = seen.where("kind = 0").join(paragraph_labels(docs), "unit", "left")
+    seen = settle(docs.mapInPandas(_occurrences, OCCURRENCES))
+    lines = seen.where("kind = 0").join(paragraph_labels(docs, seen), "unit", "left")
     lines = lines.select("doc_id", "kind", "at", "n_words", F.coalesce("component", "unit").alias("component"))
     windows = seen.where("kind = 1").select("doc_id", "kind", "at", "n_words", F.col("unit").alias("component"))
-    group = Window.partitionBy("kind", "component")
     both = lines.unionByName(windows)
-    both = both.select(
-        "*",
-        F.min("doc_id").over(group).alias("first_doc"),
-        F.max("doc_id").over(group).alias("last_doc"),
-        F.min(F.struct("doc_id", "at")).over(group).alias("first"),
+    groups = both.groupBy("kind", "component").agg(
+        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min(F.struct("doc_id", "at")).alias("first")
     )
     kept = F.struct("doc_id", "at") == F.col("first")
-    return both.where("first_doc < last_doc").select(
+    return both.join(groups.where("first_doc < last_doc"), ["kind", "component"]).select(
         "doc_id", F.when(F.col("kind") == 0, "paragraph").otherwise("window").alias("kind"), "at", "n_words", "component",
         "first_doc", "last_doc", (~kept).alias("removed"),
     )
