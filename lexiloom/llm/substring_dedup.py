@@ -15,6 +15,7 @@ Of each group that spans documents the first occurrence stays; the others are to
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,26 +41,61 @@ BANDS = tuned_bands()
 _SEEDS = sh.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def paragraphs(text: str) -> Iterator[tuple[int, list[bytes]]]:
-    """(first word, words) of each line that is long enough."""
-    at = 0
-    for line in text.encode("utf-8").lower().split(b"\n"):
-        tokens = line.split()
-        if len(tokens) >= MIN_WORDS:
-            yield at, tokens
-        at += len(tokens)
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+@lru_cache(maxsize=8)
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers, n being a power of two so that few tables are kept."""
+    return np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, dtype=np.uint64)], dtype=np.uint64)
+
+
+def hashed_words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, line number of each word): words and lines of the lower-cased (A-Z) text.
+
+    A word's hash is a difference of one running polynomial sum over the bytes, shifted to power 0.
+    """
+    data = np.frombuffer(text.encode("utf-8").lower(), np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACES[data], prepend=True, append=True))
+    start, stop = edge[::2], edge[1::2]
+    table = 1 << len(data).bit_length()
+    run = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * _powers(_BASE, table)[: len(data)], out=run[1:])
+    hashes = sh.mix((run[stop] - run[start]) * _powers(_INVERSE, table)[start])
+    return hashes, np.searchsorted(np.flatnonzero(data == 10), start)
+
+
+def paragraphs(lines: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first word, words) of each line that is long enough, from the line numbers of the words."""
+    cuts = np.flatnonzero(np.diff(lines, prepend=-1, append=-1)).tolist()
+    for a, z in zip(cuts, cuts[1:]):
+        if z - a >= MIN_WORDS:
+            yield a, z - a
+
+
+def _distinct(items: np.ndarray) -> np.ndarray:
+    items = np.sort(items)
+    fresh = np.ones(len(items), bool)
+    np.not_equal(items[1:], items[:-1], out=fresh[1:])
+    return items[fresh]
+
+
+def paragraph_set(shingles: np.ndarray, first: int, n: int) -> np.ndarray:
+    """The set of a paragraph, cut out of the shingle hashes of its text."""
+    return _distinct(shingles[first : first + n - sh.WIDTH + 1])
 
 
 def _signed(raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
 
-def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, digests) of the anchored windows of a text's word hashes."""
-    n = len(hashes) - MIN_WORDS + 1
+def anchors(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, digests) of the anchored windows of a text's shingle hashes."""
+    n = len(shingle) + sh.WIDTH - MIN_WORDS
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    shingle = sh.shingle_hashes(hashes)
     low = ((shingle[:n] >> np.uint64(24)) << np.uint64(24)) | np.arange(n, dtype=np.uint64) & np.uint64(0xFFFFFF)
     span, best, left = 1, low, min(REACH, n)
     while span * 2 <= left:
@@ -91,33 +127,46 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Paragraphs (kind 0, with their bands) and anchored windows (kind 1) in one pass over the texts."""
+    """Paragraphs (kind 0) and anchored windows (kind 1) in one pass over the texts.
+
+    The first of equal paragraphs in a batch carries the bands.
+    """
     for pdf in batches:
-        parts, sets = [], []
+        parts, sets, banded = [], [], set()
         for i, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
-            if not text:
+            hashes, lines = hashed_words(text or "")
+            if len(hashes) < MIN_WORDS:
                 continue
-            hashes = sh.word_hashes(sh.words(text))
-            lines = [(a, len(t)) for a, t in paragraphs(text)]
-            if lines:
-                own = [np.unique(sh.shingle_hashes(hashes[a : a + n])) for a, n in lines]
-                sets += own
-                parts.append((i, 0, [a for a, _ in lines], [n for _, n in lines], [_signed(s.tobytes()) for s in own]))
-            at, digests = anchors(hashes)
-            if len(at):
-                parts.append((i, 1, at, np.full(len(at), MIN_WORDS), digests))
+            shingles = sh.shingle_hashes(hashes)
+            places = list(paragraphs(lines))
+            if places:
+                units = []
+                for a, n in places:
+                    own = paragraph_set(shingles, a, n)
+                    units.append(_signed(own.tobytes()))
+                    if units[-1] not in banded:
+                        banded.add(units[-1])
+                        sets.append(own)
+                parts.append((i, 0, *np.array(places).T, units))
+            at, digests = anchors(shingles)
+            parts.append((i, 1, at, np.full(len(at), MIN_WORDS), digests))
         if parts:
             sizes = [len(p[2]) for p in parts]
             kind = np.repeat([p[1] for p in parts], sizes)
-            keys = iter(band_keys(sets) if sets else ())
+            unit = np.concatenate([p[4] for p in parts])
+            bands = np.full(len(unit), None, dtype=object)
+            if sets:
+                own = np.flatnonzero(kind == 0)
+                own = own[np.sort(np.unique(unit[own], return_index=True)[1])]
+                bands[own] = np.fromiter(band_keys(sets), object, len(sets))
             yield pd.DataFrame(
                 {
                     "doc_id": np.repeat([p[0] for p in parts], sizes),
                     "kind": kind,
                     "at": np.concatenate([p[2] for p in parts]),
                     "n_words": np.concatenate([p[3] for p in parts]),
-                    "unit": np.concatenate([p[4] for p in parts]),
-                    "bands": [next(keys) if k == 0 else None for k in kind.tolist()],
+                    "unit": unit,
+                    "bands": bands,
                 }
             )
 
@@ -130,8 +179,10 @@ def _colliding_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for pdf in batches:
             found = {}
             for text in pdf["text"]:
-                for _, tokens in paragraphs(text or ""):
-                    raw = np.unique(sh.shingle_hashes(sh.word_hashes(tokens))).tobytes()
+                hashes, lines = hashed_words(text or "")
+                shingles = sh.shingle_hashes(hashes)
+                for a, n in paragraphs(lines):
+                    raw = paragraph_set(shingles, a, n).tobytes()
                     found[_signed(raw)] = raw
             out = pd.DataFrame({"id": list(found), "items": pd.Series(list(found.values()), dtype=object)})
             yield out.astype({"id": "int64"})
@@ -148,7 +199,7 @@ def _colliding_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def paragraph_labels(docs: DataFrame, seen: DataFrame) -> DataFrame:
     """(unit, component) of paragraphs with a near copy of other words. Equal ones are banded once."""
-    distinct = seen.where("kind = 0").select("unit", "bands").dropDuplicates(["unit"])
+    distinct = seen.where("kind = 0 AND bands IS NOT NULL").select("unit", "bands").dropDuplicates(["unit"])
     routes = settle(sh.hubs(distinct.select(F.explode("bands").alias("key"), F.col("unit").alias("id"))))
     sets = settle(_colliding_sets(docs, routes.select("id").distinct()))
     sized = sets.select("id", (F.length("items") / 8).cast("bigint").alias("n"))
