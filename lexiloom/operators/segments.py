@@ -247,30 +247,43 @@ def fit_boundaries(length: int, wanted: list[int], ends: np.ndarray, low: int, h
     return kept
 
 
-def punctuation_chunks(ends: list[int], length: int, low: int, high: int, target: int) -> list[tuple[int, int]]:
-    """Greedy chunks of whole sentences near the target size; an overlong sentence is cut hard."""
-    if length <= low or not ends:
-        return [(0, length)]
-    marks = list(ends) if ends[-1] == length else [*ends, length]
-    chunks, start, previous = [], 0, 0
-    for mark in marks:
-        if mark - start > high:
-            if start < previous and previous - start >= low:
-                chunks.append((start, previous))
-                start = previous
-            while mark - start > high:
-                chunks.append((start, start + high))
-                start += high
-        elif mark - start >= target:
-            chunks.append((start, mark))
-            start = mark
-        previous = mark
-    if start < length:
-        if length - start < low and chunks:
-            chunks[-1] = (chunks[-1][0], length)
-        else:
-            chunks.append((start, length))
-    return chunks
+def punctuation_edges(text: Column, low: int, high: int, target: int) -> Column:
+    """The ascending edges of a text's chunks, by one ordered fold over its sentences.
+
+    A sentence end closes a chunk of at least ``target``. A sentence that takes the chunk beyond ``high``
+    closes it one end earlier than the last, if that leaves ``low``; what is still too long is cut every
+    ``high`` code points. A short rest joins the last chunk, a blank one is left out.
+    """
+    parts = F.transform(pieces(text), lambda p: F.struct(F.char_length(p).alias("len"), (tx.trim_blanks(p) == "").alias("blank")))
+    parts = F.concat(parts, F.array(F.struct(F.lit(0).alias("len"), F.lit(False).alias("blank"))))
+
+    def state(pos, before, last, cuts):
+        return F.struct(pos.alias("pos"), before.alias("before"), last.alias("last"), cuts.alias("cuts"))
+
+    def step(s, part):
+        end, start = s["pos"] + part["len"], F.element_at(s["cuts"], -1)
+        base = F.when(s["before"] - start >= low, s["before"]).otherwise(start)
+        cuts = (
+            F.when(end - start > high, F.array_union(s["cuts"], F.sequence(base, end - 1, F.lit(high))))
+            .when(end - start >= target, F.concat(s["cuts"], F.array(end)))
+            .otherwise(s["cuts"])
+        )
+        real = ~part["blank"] & (end > s["last"])
+        return F.when(real, state(end, s["last"], end, cuts)).otherwise(state(end, s["before"], s["last"], s["cuts"]))
+
+    def finish(s):
+        cuts, length = s["cuts"], F.array(s["pos"])
+        rest = s["pos"] - F.element_at(cuts, -1)
+        blank = tx.trim_blanks(F.substring(text, F.element_at(cuts, -1) + 1, rest)) == ""
+        return (
+            F.when(s["pos"] <= low, F.concat(F.array(F.lit(0)), length))
+            .when(rest == 0, cuts)
+            .when((rest < low) & (F.size(cuts) > 1), F.concat(F.slice(cuts, F.lit(1), F.size(cuts) - 1), length))
+            .when(blank, cuts)
+            .otherwise(F.concat(cuts, length))
+        )
+
+    return F.aggregate(parts, state(F.lit(0), F.lit(0), F.lit(0), F.array(F.lit(0))), step, finish)
 
 
 def _spans(boundaries: list[int], length: int) -> list[tuple[int, int]]:
@@ -281,22 +294,13 @@ def _spans(boundaries: list[int], length: int) -> list[tuple[int, int]]:
 def segment_by_punctuation(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", target=TARGET_SIZE, low=MIN_SIZE, high=MAX_SIZE
 ) -> DataFrame:
-    """(id, seg_no, start, end). Narrow: the sentence lengths leave the JVM, the text does not."""
+    """(id, seg_no, start, end). Narrow and JVM-side; blank texts have no chunks."""
     rows = docs.where(tx.trim_blanks(F.col(text)) != "").select(
-        F.col(doc_id).alias("id"), F.transform(pieces(F.col(text)), F.char_length).alias("lens")
+        F.col(doc_id).alias("id"), punctuation_edges(F.col(text), low, high, target).alias("edges")
     )
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for i, lens in zip(pdf["id"], pdf["lens"]):
-                ends = np.cumsum(lens).tolist() if len(lens) else []
-                for no, (a, b) in enumerate(punctuation_chunks(ends, ends[-1] if ends else 0, low, high, target)):
-                    out.append((i, no + 1, a, b))
-            yield pd.DataFrame(out, columns=["id", "seg_no", "start", "end"])
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, seg_no int, start int, end int")
+    spans = F.arrays_zip(F.col("edges").alias("a"), F.slice("edges", F.lit(2), F.size("edges") - 1).alias("b"))
+    rows = rows.select("id", F.posexplode(spans).alias("p", "span")).where("span.b IS NOT NULL")
+    return rows.select("id", (F.col("p") + 1).alias("seg_no"), F.col("span.a").alias("start"), F.col("span.b").alias("end"))
 
 
 def segment_by_series(

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import hashing, text as tx
@@ -62,12 +63,23 @@ def test_sentences_protect_quotes(spark):
     assert rows[1]["start"] == rows[0]["end"]
 
 
-def test_punctuation_chunks_cover_the_text():
-    chunks = sg.punctuation_chunks([50, 700, 5000, 5010], 5030, 100, 2000, 500)
-    assert chunks[0][0] == 0 and chunks[-1][1] == 5030
-    assert all(b == c for (_, b), (c, _) in zip(chunks, chunks[1:]))
-    assert all(b - a <= 2100 for a, b in chunks)
-    assert sg.punctuation_chunks([80], 80, 100, 2000, 500) == [(0, 80)]
+@pytest.mark.parametrize(
+    ("ends", "blanks", "edges"),
+    [
+        ([50, 700, 5000, 5010, 5030], 0, [0, 700, 2700, 4700, 5030]),
+        ([150, 200, 2300], 0, [0, 150, 2150, 2300]),
+        ([600], 200, [0, 600]),
+        ([600], 50, [0, 650]),
+        ([600, 650], 0, [0, 650]),
+        ([80], 0, [0, 80]),
+        ([450], 20, [0, 470]),
+    ],
+)
+def test_punctuation_chunks(spark, ends, blanks, edges):
+    text = "".join("x" * (b - a - 1) + "." for a, b in zip([0, *ends], ends)) + " " * blanks
+    docs = spark.createDataFrame([(1, text), (2, "  "), (3, None)], "doc_id long, text string")
+    rows = sg.segment_by_punctuation(docs).orderBy("seg_no").collect()
+    assert [tuple(r) for r in rows] == [(1, k + 1, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
 
 
 def test_pattern_search(spark):
