@@ -46,7 +46,11 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
-@lru_cache(maxsize=8)
+#: Bytes hashed at a time, and words after which a task hands its rows on.
+PIECE, FLUSH_WORDS = 1 << 18, 1 << 18
+
+
+@lru_cache(maxsize=2)
 def _powers(base: int, n: int) -> np.ndarray:
     """The first ``n`` powers, n being a power of two so that few tables are kept."""
     return np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, dtype=np.uint64)], dtype=np.uint64)
@@ -55,15 +59,24 @@ def _powers(base: int, n: int) -> np.ndarray:
 def hashed_words(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, line number of each word): words and lines of the lower-cased (A-Z) text.
 
-    A word's hash is a difference of one running polynomial sum over the bytes, shifted to power 0.
+    A word's hash is a difference of one running polynomial sum over the bytes, shifted to power 0, so
+    it does not depend on where the sum begins. The sum runs over ``PIECE`` bytes of whole words at a
+    time: what a very long text needs beside its hashes is a few bytes for each byte of it.
     """
     data = np.frombuffer(text.encode("utf-8").lower(), np.uint8)
     edge = np.flatnonzero(np.diff(_SPACES[data], prepend=True, append=True))
     start, stop = edge[::2], edge[1::2]
-    table = 1 << len(data).bit_length()
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data + np.uint64(1)) * _powers(_BASE, table)[: len(data)], out=run[1:])
-    hashes = sh.mix((run[stop] - run[start]) * _powers(_INVERSE, table)[start])
+    hashes = np.empty(len(start), np.uint64)
+    first = 0
+    while first < len(start):
+        last = max(int(np.searchsorted(stop, start[first] + PIECE, "right")), first + 1)
+        low, high = start[first], stop[last - 1]
+        table = max(PIECE, 1 << int(high - low).bit_length())
+        run = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((data[low:high] + np.uint64(1)) * _powers(_BASE, table)[: high - low], out=run[1:])
+        a, z = start[first:last] - low, stop[first:last] - low
+        hashes[first:last] = sh.mix((run[z] - run[a]) * _powers(_INVERSE, table)[a])
+        first = last
     return hashes, np.searchsorted(np.flatnonzero(data == 10), start)
 
 
@@ -126,13 +139,32 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _rows(parts: list[tuple], sets: list[np.ndarray], fresh: list[int]) -> pd.DataFrame:
+    """OCCURRENCES of some documents; ``fresh`` are the rows that carry the bands of ``sets``."""
+    sizes = [len(p[2]) for p in parts]
+    bands = np.full(sum(sizes), None, dtype=object)
+    if sets:
+        bands[fresh] = np.fromiter(band_keys(sets), object, len(sets))
+    return pd.DataFrame(
+        {
+            "doc_id": np.repeat([p[0] for p in parts], sizes),
+            "kind": np.repeat([p[1] for p in parts], sizes),
+            "at": np.concatenate([p[2] for p in parts]),
+            "n_words": np.concatenate([p[3] for p in parts]),
+            "unit": np.concatenate([p[4] for p in parts]),
+            "bands": bands,
+        }
+    )
+
+
 def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Paragraphs (kind 0) and anchored windows (kind 1) in one pass over the texts.
 
-    The first of equal paragraphs in a batch carries the bands.
+    The first of equal paragraphs in a batch carries the bands. Rows leave every FLUSH_WORDS words, so
+    memory follows that number and the longest text, not the batch.
     """
     for pdf in batches:
-        parts, sets, banded = [], [], set()
+        parts, sets, fresh, banded, rows, held = [], [], [], set(), 0, 0
         for i, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
             hashes, lines = hashed_words(text or "")
             if len(hashes) < MIN_WORDS:
@@ -147,45 +179,42 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if units[-1] not in banded:
                         banded.add(units[-1])
                         sets.append(own)
+                        fresh.append(rows + len(units) - 1)
                 parts.append((i, 0, *np.array(places).T, units))
+                rows += len(units)
             at, digests = anchors(shingles)
             parts.append((i, 1, at, np.full(len(at), MIN_WORDS), digests))
+            rows += len(at)
+            held += len(hashes)
+            if held >= FLUSH_WORDS:
+                yield _rows(parts, sets, fresh)
+                parts, sets, fresh, rows, held = [], [], [], 0, 0
         if parts:
-            sizes = [len(p[2]) for p in parts]
-            kind = np.repeat([p[1] for p in parts], sizes)
-            unit = np.concatenate([p[4] for p in parts])
-            bands = np.full(len(unit), None, dtype=object)
-            if sets:
-                own = np.flatnonzero(kind == 0)
-                own = own[np.sort(np.unique(unit[own], return_index=True)[1])]
-                bands[own] = np.fromiter(band_keys(sets), object, len(sets))
-            yield pd.DataFrame(
-                {
-                    "doc_id": np.repeat([p[0] for p in parts], sizes),
-                    "kind": kind,
-                    "at": np.concatenate([p[2] for p in parts]),
-                    "n_words": np.concatenate([p[3] for p in parts]),
-                    "unit": unit,
-                    "bands": bands,
-                }
-            )
+            yield _rows(parts, sets, fresh)
 
 
 def _colliding_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, items), distinct, of the paragraphs among ``ids``."""
     shared = docs.sparkSession.sparkContext.broadcast(sh.id_bitmap(ids.select("id")))
 
+    def frame(found: dict[int, bytes]) -> pd.DataFrame:
+        out = pd.DataFrame({"id": list(found), "items": pd.Series(list(found.values()), dtype=object)})
+        return out.astype({"id": "int64"})
+
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = {}
+            found, held = {}, 0
             for text in pdf["text"]:
                 hashes, lines = hashed_words(text or "")
                 shingles = sh.shingle_hashes(hashes)
                 for a, n in paragraphs(lines):
                     raw = paragraph_set(shingles, a, n).tobytes()
                     found[_signed(raw)] = raw
-            out = pd.DataFrame({"id": list(found), "items": pd.Series(list(found.values()), dtype=object)})
-            yield out.astype({"id": "int64"})
+                held += len(hashes)
+                if held >= FLUSH_WORDS and found:
+                    yield frame(found)
+                    found, held = {}, 0
+            yield frame(found)
 
     sets = docs.select("text").mapInPandas(build, "id bigint, items binary")
     position = F.pmod(F.xxhash64("id"), F.lit(1 << sh.ID_BITS))
