@@ -59,10 +59,15 @@ def fragments(lines: DataFrame) -> DataFrame:
     return rows.where("level IS NULL AND content <> ''").drop("level").withColumn("fragment_id", digest)
 
 
-def numbered_acts(secs: DataFrame, cap: int) -> DataFrame:
-    """(id, act_no, title, content): non-empty sections numbered per document, at most ``cap`` each."""
+def numbered_acts(secs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, act_no, title, content): the sections of a document in order; without any, its whole text is one act."""
     rank = F.row_number().over(W.partitionBy("id").orderBy("section"))
-    return secs.withColumn("act_no", rank).where(F.col("act_no") <= cap).select("id", "act_no", "title", "content")
+    numbered = secs.select("id", rank.alias("act_no"), "title", "content")
+    rest = lines.join(secs.select("id").distinct(), "id", "left_anti")
+    # As large as one document.
+    whole = rest.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("body"))
+    content = F.array_join(F.transform("body", lambda b: b["line"]), "\n")
+    return numbered.unionByName(whole.select("id", F.lit(1).alias("act_no"), F.col("id").cast("string").alias("title"), content.alias("content")))
 
 
 def facts_in_sections(facts: DataFrame, secs: DataFrame) -> DataFrame:
@@ -73,14 +78,17 @@ def facts_in_sections(facts: DataFrame, secs: DataFrame) -> DataFrame:
 
 
 def page_proposals(secs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(page_id, title, source, chars): a page per section, or per document without sections."""
+    """(page_id, title, source, chars): a page per section, or per document without sections.
+
+    ``docs``: (id, chars), the length of each whole document.
+    """
     from_sections = secs.select(
-        F.concat_ws("/", F.col("id").cast("string"), tx.title_to_slug(F.substring("title", 1, 24))).alias("page_id"),
+        F.concat_ws("/", F.col("id").cast("string"), tx.title_to_slug(F.col("title"))).alias("page_id"),
         F.col("title"),
         F.col("id").alias("source"),
         F.char_length("content").alias("chars"),
     )
     whole = docs.join(secs.select("id").distinct(), "id", "left_anti").select(
-        F.col("id").cast("string").alias("page_id"), F.col("id").cast("string").alias("title"), F.col("id").alias("source"), F.char_length("text").alias("chars")
+        F.col("id").cast("string").alias("page_id"), F.col("id").cast("string").alias("title"), F.col("id").alias("source"), "chars"
     )
     return from_sections.unionByName(whole)

@@ -225,7 +225,7 @@ def top_ranked_pairs(spark, sf):
 
 TURNS = "(SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, text FROM conversations)"
 PAIR_TF = f"""
- ab AS (SELECT conv_id * 1000 + turn AS id, {sp.words('prev')} AS x, {sp.words('text')} AS y FROM {TURNS} WHERE prev IS NOT NULL),
+ ab AS (SELECT conv_id || ':' || turn AS id, {sp.words('prev')} AS x, {sp.words('text')} AS y FROM {TURNS} WHERE prev IS NOT NULL),
  ta AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(x) AS term FROM ab) GROUP BY ALL),
  tb AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(y) AS term FROM ab) GROUP BY ALL),
  sz AS (SELECT id, len(x)::DOUBLE AS la, len(y)::DOUBLE AS lb FROM ab),
@@ -238,7 +238,7 @@ def _turn_pairs(spark, sf):
     turns = table_fn(spark, sf)("conversations")
     prev = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
     return turns.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), prev.alias("a"), F.col("text").alias("b")
+        F.concat_ws(":", "conv_id", "turn").alias("id"), prev.alias("a"), F.col("text").alias("b")
     ).where("a IS NOT NULL")
 
 

@@ -164,12 +164,13 @@ def provider_index_stats(spark, sf):
     return table_fn(spark, sf)("embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.max(F.size("embedding")).cast("bigint").alias("dim"))
 
 
-SEC_SEARCH = f"""WITH s0 AS (SELECT conv_id, turn, role, text FROM conversations), {sp.tf('(SELECT conv_id * 1000 + turn AS sid, text FROM s0)', 'sid')}, {sp.TFIDF_W}, {VOCAB}, {EMB}, {BQ.replace(' JOIN reps ON rep_id = em.id', '')}"""
+TURN_TEXTS = "(SELECT conv_id || ':' || turn AS id, text FROM conversations)"
+SEC_SEARCH = f"""WITH {sp.tf(TURN_TEXTS, 'id')}, {sp.TFIDF_W}, {VOCAB}, {EMB}, {BQ.replace(' JOIN reps ON rep_id = em.id', '')}"""
 
 
 @register("section_search", "K9", f"{SEC_SEARCH} SELECT * FROM rk WHERE rank <= 10 AND score >= 0.05")
 def section_search(spark, sf):
-    secs = table_fn(spark, sf)("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    secs = table_fn(spark, sf)("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     tf = lx.term_counts(secs.withColumn("toks", tx.word_tokens(F.col("text"))), F.col("toks"), "id").withColumn("copies", F.lit(1))
     n = lx.corpus_size(secs)
     vocab = lx.vocabulary(lx.tfidf_weights(tf, n), DIM)
@@ -211,10 +212,10 @@ def task_stream_sql(source, key):
  st AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY p, q) - 1 AS pos, term FROM (SELECT k, p, q, {CANON} AS term FROM s3 WHERE t <> '') WHERE length(term) >= 2)"""
 
 
-@register("task_tokens", "F7", f"WITH {task_stream_sql('(SELECT conv_id * 1000 + turn AS id, text FROM conversations)', 'id')} SELECT DISTINCT k AS id, term FROM st")
+@register("task_tokens", "F7", f"WITH {task_stream_sql(TURN_TEXTS, 'id')} SELECT DISTINCT k AS id, term FROM st")
 def task_tokens(spark, sf):
     turns = table_fn(spark, sf)("conversations")
-    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.explode(tx.task_tokens(F.col("text"))).alias("term"))
+    return turns.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.explode(tx.task_tokens(F.col("text"))).alias("term"))
 
 
 TASK_SQL = f"""{task_stream_sql('documents', 'doc_id')}, {task_stream_sql('(SELECT item_id, text FROM benchmark WHERE item_id = 0)', 'item_id').replace('s1 ', 'q1 ').replace('s1)', 'q1)').replace('FROM s1', 'FROM q1').replace('s2', 'q2').replace('s3', 'q3').replace(' st AS', ' qst AS')},

@@ -207,10 +207,12 @@ def document_fragments(spark, sf):
 @register(
     "numbered_acts",
     "T9",
-    f"WITH {SEC_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY section) AS act_no FROM secs) SELECT id, act_no, title, content FROM r WHERE act_no <= 40",
+    f"""WITH {SEC_SQL}, whole AS (SELECT conv_id AS id, coalesce(string_agg(text, chr(10) ORDER BY turn, text), '') AS content FROM conversations WHERE conv_id NOT IN (SELECT id FROM secs) GROUP BY conv_id)
+ SELECT id, row_number() OVER (PARTITION BY id ORDER BY section) AS act_no, title, content FROM secs UNION ALL SELECT id, 1, id::VARCHAR, content FROM whole""",
 )
 def numbered_acts(spark, sf):
-    return st.numbered_acts(st.sections(turn_lines(spark, sf)), 40)
+    lines = turn_lines(spark, sf)
+    return st.numbered_acts(st.sections(lines), lines)
 
 
 SLUG = "translate(regexp_replace(translate({}, ' /', '--'), '[()&:*?\"<>|\\\\]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -219,12 +221,14 @@ SLUG = "translate(regexp_replace(translate({}, ' /', '--'), '[()&:*?\"<>|\\\\]',
 @register(
     "page_proposals",
     "T11 F29 D30",
-    f"""WITH {SEC_SQL}, whole AS (SELECT conv_id AS id, max(text) AS text FROM conversations GROUP BY conv_id)
- SELECT id || '/' || {SLUG.format('substr(title, 1, 24)')} AS page_id, title, id AS source, length(content) AS chars FROM secs
+    f"""WITH {SEC_SQL}, whole AS (SELECT conv_id AS id, string_agg(text, chr(10)) AS text FROM conversations GROUP BY conv_id)
+ SELECT id || '/' || {SLUG.format('title')} AS page_id, title, id AS source, length(content) AS chars FROM secs
  UNION ALL SELECT id::VARCHAR, id::VARCHAR, id, length(text) FROM whole WHERE id NOT IN (SELECT id FROM secs)""",
 )
 def page_proposals(spark, sf):
-    docs = table_fn(spark, sf)("conversations").groupBy(F.col("conv_id").alias("id")).agg(F.max("text").alias("text"))
+    # Turns are joined by line ends.
+    chars = F.sum(F.char_length("text")) + F.count("text") - 1
+    docs = table_fn(spark, sf)("conversations").groupBy(F.col("conv_id").alias("id")).agg(chars.alias("chars"))
     return st.page_proposals(st.sections(turn_lines(spark, sf)), docs)
 
 
