@@ -1,9 +1,10 @@
 """Document fingerprints by winnowing.
 
 Each run of ``GRAM`` code points has a rolling hash; of every ``WINDOW`` neighbouring hashes the smallest
-is kept, the rightmost on ties, with its position. Two texts that share GRAM + WINDOW - 1 = 100 code
-points share a fingerprint. Texts shorter than a gram have one hash, of the whole; texts shorter
-than a window have the smallest of all; empty texts have none.
+is kept, the rightmost on ties, with its position. Two texts that share GRAM + WINDOW - 1 = 20 code
+points share a fingerprint, so a text of 40 or more has one in common with a copy that keeps a half of
+it. Texts shorter than a gram have one hash, of the whole; texts of fewer grams than a window have the
+smallest of all; empty texts have none.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lexiloom.llm.shingles import mix
 
-GRAM = 24
-WINDOW = 77
+GRAM = 10
+WINDOW = 11
 BINS = 512
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
