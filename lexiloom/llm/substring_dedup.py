@@ -1,21 +1,24 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are lines of at least ``MIN_WORDS`` words. Their five-word shingle sets get MinHash bands
-tuned so that a pair at similarity 0.8 collides with at least 0.999 probability; colliding paragraphs
-are joined, verified by exact Jaccard similarity, and clustered by connected components.
+Paragraphs are lines and blocks of several lines between blank ones, of any size. Their five-word
+shingle sets (fewer words make one shingle) get MinHash bands tuned so that a pair at similarity 0.8
+collides with at least 0.999 probability; colliding paragraphs are joined, verified by exact Jaccard
+similarity, and clustered by connected components. Sets under ``LEAST`` shingles are similar to equal
+ones only and need no bands.
 
 A passage that repeats inside longer lines, or over several short ones, has no line of its own. So each
 text also has anchored windows: of every ``REACH`` neighbouring shingles the smallest hash anchors the
 ``MIN_WORDS`` words that begin there. A passage of REACH + MIN_WORDS - 1 = 50 words holds a whole window
 wherever it stands, and equal windows fall into one group by their digest.
 
-Of each group that spans documents the first occurrence stays; the others are to be removed.
+Of each group with two occurrences apart, in one document or several, the first one stays, with what
+overlaps it; the others are to be removed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -28,6 +31,8 @@ from lexiloom.session import settle
 
 MIN_WORDS = 25
 REACH = 26
+#: The smallest set that can reach SIMILARITY with another one: 4 of 5 shingles.
+LEAST = 4
 ROWS = 3
 SIMILARITY, RECALL = 0.8, 0.999
 
@@ -80,12 +85,16 @@ def hashed_words(text: str) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(np.flatnonzero(data == 10), start)
 
 
-def paragraphs(lines: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(first word, words) of each line that is long enough, from the line numbers of the words."""
-    cuts = np.flatnonzero(np.diff(lines, prepend=-1, append=-1)).tolist()
-    for a, z in zip(cuts, cuts[1:]):
-        if z - a >= MIN_WORDS:
-            yield a, z - a
+def paragraphs(lines: np.ndarray, blocks: bool = False) -> Iterator[tuple[int, int]]:
+    """(first word, words) of each line, and of each block of several lines, from the line numbers of the words."""
+    if not len(lines):
+        return
+    steps = np.diff(lines)
+    cuts = [0, *(np.flatnonzero(steps) + 1).tolist(), len(lines)]
+    yield from ((a, z - a) for a, z in zip(cuts, cuts[1:]))
+    if blocks:
+        cuts = [0, *(np.flatnonzero(steps > 1) + 1).tolist(), len(lines)]
+        yield from ((a, z - a) for a, z in zip(cuts, cuts[1:]) if lines[a] != lines[z - 1])
 
 
 def _distinct(items: np.ndarray) -> np.ndarray:
@@ -95,8 +104,10 @@ def _distinct(items: np.ndarray) -> np.ndarray:
     return items[fresh]
 
 
-def paragraph_set(shingles: np.ndarray, first: int, n: int) -> np.ndarray:
-    """The set of a paragraph, cut out of the shingle hashes of its text."""
+def paragraph_set(hashes: np.ndarray, shingles: np.ndarray, first: int, n: int) -> np.ndarray:
+    """The set of a paragraph, cut out of the shingle hashes of its text, or the one shingle of its few words."""
+    if n < sh.WIDTH:
+        return sh.shingle_hashes(hashes[first : first + n])
     return _distinct(shingles[first : first + n - sh.WIDTH + 1])
 
 
@@ -157,31 +168,29 @@ def _rows(parts: list[tuple], sets: list[np.ndarray], fresh: list[int]) -> pd.Da
     )
 
 
-def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Paragraphs (kind 0) and anchored windows (kind 1) in one pass over the texts.
+def _occurrences(batches: Iterator[pd.DataFrame], blocks: bool = False) -> Iterator[pd.DataFrame]:
+    """Paragraphs (kind 0; lines, or blocks as well) and anchored windows (kind 1) in one pass over the texts.
 
-    The first of equal paragraphs in a batch carries the bands. Rows leave every FLUSH_WORDS words, so
+    The first of equal paragraphs in a batch carries the bands, if the set needs any. Rows leave every FLUSH_WORDS words, so
     memory follows that number and the longest text, not the batch.
     """
     for pdf in batches:
         parts, sets, fresh, banded, rows, held = [], [], [], set(), 0, 0
         for i, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
             hashes, lines = hashed_words(text or "")
-            if len(hashes) < MIN_WORDS:
+            if not len(hashes):
                 continue
             shingles = sh.shingle_hashes(hashes)
-            places = list(paragraphs(lines))
-            if places:
-                units = []
-                for a, n in places:
-                    own = paragraph_set(shingles, a, n)
-                    units.append(_signed(own.tobytes()))
-                    if units[-1] not in banded:
-                        banded.add(units[-1])
-                        sets.append(own)
-                        fresh.append(rows + len(units) - 1)
-                parts.append((i, 0, *np.array(places).T, units))
-                rows += len(units)
+            places, units = list(paragraphs(lines, blocks)), []
+            for a, n in places:
+                own = paragraph_set(hashes, shingles, a, n)
+                units.append(_signed(own.tobytes()))
+                if len(own) >= LEAST and units[-1] not in banded:
+                    banded.add(units[-1])
+                    sets.append(own)
+                    fresh.append(rows + len(units) - 1)
+            parts.append((i, 0, *np.array(places).T, units))
+            rows += len(units)
             at, digests = anchors(shingles)
             parts.append((i, 1, at, np.full(len(at), MIN_WORDS), digests))
             rows += len(at)
@@ -207,9 +216,11 @@ def _colliding_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for text in pdf["text"]:
                 hashes, lines = hashed_words(text or "")
                 shingles = sh.shingle_hashes(hashes)
-                for a, n in paragraphs(lines):
-                    raw = paragraph_set(shingles, a, n).tobytes()
-                    found[_signed(raw)] = raw
+                for a, n in paragraphs(lines, True):
+                    own = paragraph_set(hashes, shingles, a, n)
+                    if len(own) >= LEAST:
+                        raw = own.tobytes()
+                        found[_signed(raw)] = raw
                 held += len(hashes)
                 if held >= FLUSH_WORDS and found:
                     yield frame(found)
@@ -240,23 +251,27 @@ def paragraph_labels(docs: DataFrame, seen: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, at, n_words, component, first_doc, last_doc, removed) per repeated passage.
 
-    Every occurrence of a group that spans at least two documents has a row; ``removed`` is false for
-    the first one, by doc_id and position. ``at`` is the first word, ``kind`` paragraph or window. Null
+    Every occurrence of a group that has two of them apart, in one document or several, has a row;
+    ``removed`` is false for the first one, by doc_id and position, and those that overlap it. ``at`` is the first word, ``kind`` paragraph or window. Null
     and empty texts and null ids have no passages; rows that repeat a doc_id are one document; other
     columns are ignored. Groups are aggregated map-side and joined back, so a passage in a third of all
     documents meets in no single task: adaptive execution splits the skewed side of the join.
     """
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    seen = settle(docs.mapInPandas(_occurrences, OCCURRENCES))
+    seen = settle(docs.mapInPandas(partial(_occurrences, blocks=True), OCCURRENCES))
     lines = seen.where("kind = 0").join(paragraph_labels(docs, seen), "unit", "left")
     lines = lines.select("doc_id", "kind", "at", "n_words", F.coalesce("component", "unit").alias("component"))
     windows = seen.where("kind = 1").select("doc_id", "kind", "at", "n_words", F.col("unit").alias("component"))
     both = lines.unionByName(windows)
     groups = both.groupBy("kind", "component").agg(
-        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min(F.struct("doc_id", "at")).alias("first")
-    )
-    kept = F.struct("doc_id", "at") == F.col("first")
-    return both.join(groups.where("first_doc < last_doc"), ["kind", "component"]).select(
+        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
+        F.min(F.struct("doc_id", "at", (-F.col("n_words")).alias("less"))).alias("first"),
+        F.max("at").alias("last_at"), F.min(F.col("at") + F.col("n_words")).alias("first_end"),
+    )
+    # In one document two occurrences are apart if one begins where another has ended.
+    repeated = groups.where("first_doc < last_doc OR last_at >= first_end")
+    kept = F.expr("doc_id = first.doc_id AND at < first.at - first.less")
+    return both.join(repeated, ["kind", "component"]).select(
         "doc_id", F.when(F.col("kind") == 0, "paragraph").otherwise("window").alias("kind"), "at", "n_words", "component",
         "first_doc", "last_doc", (~kept).alias("removed"),
     )
