@@ -174,3 +174,29 @@ p AS (SELECT *, array_to_string(u[1:least(x, y)], '') AS a, array_to_string(u[le
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || a || '<M>' || m END) AS output_sha256,
  sha256(a || m || s) AS restored_sha256 FROM p"""
+
+
+@query
+def op13_collocations(spark, sf):
+    from lexiloom.llm.collocations import collocations
+
+    return collocations(table_fn(spark, sf)("documents"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM documents),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM p, (VALUES (1), (2), (3)) v(k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+nn AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+t AS MATERIALIZED (SELECT lang, phrase, a, unnest(range(1, k)) AS k, ws FROM c),
+h AS MATERIALIZED (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS rest FROM t),
+cuts AS (SELECT h.lang, h.phrase, h.a, h.k, x.a AS l, y.a AS r, (1000000::HUGEINT * h.a * h.a // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM h JOIN f x ON x.lang = h.lang AND x.phrase = h.head JOIN f y ON y.lang = h.lang AND y.phrase = h.rest),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+big AS (SELECT lang, phrase, max(longer) AS longer FROM (SELECT lang, a AS longer, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+ranked AS (SELECT low.*, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase) AS rank
+  FROM low LEFT JOIN big ON big.lang = low.lang AND big.phrase = low.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT o.lang, o.rank, o.phrase, o.a, o.l, o.r, nn.n, o.score FROM ranked o JOIN nn ON nn.lang = o.lang WHERE o.rank <= 2000"""
