@@ -200,3 +200,24 @@ big AS (SELECT lang, phrase, max(longer) AS longer FROM (SELECT lang, a AS longe
 ranked AS (SELECT low.*, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase) AS rank
   FROM low LEFT JOIN big ON big.lang = low.lang AND big.phrase = low.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
 SELECT o.lang, o.rank, o.phrase, o.a, o.l, o.r, nn.n, o.score FROM ranked o JOIN nn ON nn.lang = o.lang WHERE o.rank <= 2000"""
+
+
+@query
+def op12_suffix_dedup(spark, sf):
+    from lexiloom.llm.suffix_dedup import without_repeats
+
+    cut = without_repeats(table_fn(spark, sf)("documents"), keep_first=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op12_suffix_dedup"] = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 400)) AS m FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM b)),
+g AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+s AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w SEMI JOIN g USING (m)),
+n AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS z FROM n GROUP BY ALL),
+k AS (SELECT doc_id, run, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+j AS (SELECT b.doc_id, x, coalesce(string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a), '') AS kept,
+  coalesce(max(z), 0) AS z, coalesce(sum(z - a), 0) AS gone, count(a) AS n FROM b LEFT JOIN k ON k.doc_id = b.doc_id GROUP BY b.doc_id, x)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, gone::BIGINT AS n_removed, n::BIGINT AS n_spans, sha256(unhex(kept || substr(x, 2 * z + 1))) AS kept_sha256 FROM j"""
