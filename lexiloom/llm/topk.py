@@ -34,7 +34,7 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         if len(np.unique(ids)) < len(ids):  # repeated rows count once
-            first = np.unique(np.c_[ids.astype(np.float64), vectors], axis=0, return_index=True)[1]
+            first = sorted({(i, v.tobytes()): n for n, (i, v) in enumerate(zip(ids.tolist(), vectors))}.values())
             ids, vectors = ids[first], vectors[first]
         order = np.argsort(ids, kind="stable")
         self.ids, rows = ids[order], vectors[order]
