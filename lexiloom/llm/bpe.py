@@ -12,18 +12,21 @@ Decoding gathers bytes by an offset table: token i is blob[offsets[i] : offsets[
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from itertools import accumulate
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql import Column, DataFrame, functions as F
+
+from lexiloom.llm.fill_in_middle import byte_slices
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer that these vocabularies were made with.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 200_000
+#: Pieces and pairs remembered by a worker.
+MEMO = 50_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -178,36 +181,37 @@ def _codec(spec: str) -> Codec:
     return _CODECS[key]
 
 
-def tokenizer_columns(spark: SparkSession, path: str):
-    """(encode, decode): functions from a text column to an ids column and back.
-
-    The vocabulary file is read here and broadcast; its size does not depend on the data.
-    """
-    with open(path, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def encode(texts: pd.Series) -> pd.Series:
-        codec = _codec(shared.value)
-        return pd.Series([codec.encode(t) for t in texts], dtype=object)
-
-    @F.pandas_udf(StringType())
-    def decode(ids: pd.Series) -> pd.Series:
-        codec = _codec(shared.value)
-        return pd.Series([codec.decode(np.asarray(x, dtype=np.int64)) for x in ids], dtype=object)
-
-    return encode, decode
+CODED = "doc_id bigint, ids array<int>, decoded string"
+SLICE_BYTES = 1 << 20
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded) for each row of ``docs`` (doc_id, text).
 
     A null text counts as empty and has no ids; rows are handled one by one, so repeated rows give
-    repeated results and very long texts are encoded whole. Other columns are ignored.
+    repeated results and very long texts are encoded whole. A null doc_id stays null, an empty table
+    gives no rows, other columns are ignored. Each text is encoded once and decoded from its ids in the
+    same pass, SLICE_BYTES of text at a time. The vocabulary file is read here and broadcast; its size
+    does not depend on the data.
     """
-    encode, decode = tokenizer_columns(docs.sparkSession, path)
-    coded = docs.select("doc_id", encode("text").alias("ids"))
-    return coded.select("doc_id", "ids", decode("ids").alias("decoded"))
+    with open(path, encoding="utf-8") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared.value)
+        for batch in batches:
+            for part in byte_slices(batch, "text", SLICE_BYTES):
+                ids, decoded, ends = [], [], [0]
+                for text in part["text"]:
+                    found = codec.encode(text.as_py())
+                    ids.append(found)
+                    ends.append(ends[-1] + len(found))
+                    decoded.append(codec.decode(found))
+                values = pa.array(np.concatenate(ids), pa.int32())
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+                yield pa.record_batch([part["doc_id"], lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, CODED)
 
 
 def digest_columns(ids: Column, decoded: Column) -> list[Column]:
