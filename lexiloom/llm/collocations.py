@@ -28,7 +28,7 @@ SLOT_BITS = 16
 SLOTS = 1 << SLOT_BITS
 BUDGET = 1 << 22
 LEAST_BUDGET = 1 << 15
-SLICE_WORDS = 1 << 20
+SLICE_WORDS = 1 << 19
 _TABLE = bytes(10 if b in PIECE_ENDS else 32 if b == 9 else b for b in range(256))
 _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -210,7 +210,7 @@ def _subtree(lang: str, bundles: list[tuple], least: int) -> pa.RecordBatch:
     numbers: dict[bytes, int] = {b"": 0}
     leaves, counts, shared = [], [], []
     for words, local, n, s in bundles:
-        known = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words.split(b"\n")), np.int64)
+        known = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words.split(b"\n")), np.int32)
         leaves.append(known[np.frombuffer(local, np.int32).reshape(DEPTH, -1)])
         counts.append(np.frombuffer(n, np.int64))
         shared.append(np.frombuffer(s, np.int8))
