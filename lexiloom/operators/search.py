@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lexiloom.functions import text as tx
-from lexiloom.operators import lexical as lx
+from lexiloom.operators import blocks as bl, lexical as lx
+from lexiloom.session import settle
 
 
 def dense_cosine(a: Column, b: Column) -> Column:
@@ -54,48 +57,10 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int, vec: str = "embe
     return best_first(scored.select("id", "score"), k)
 
 
-# A slice of this many queries is broadcast at a time.
-QUERY_SLICE = 1000
-
-
 def batch_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank): the k nearest vectors of each query, exact for any number of queries.
-
-    ``vectors`` (id, vec) and ``queries`` (qid, qvec). Queries are worked off in slices of about
-    QUERY_SLICE arrays; each task multiplies its Arrow batches with a slice and keeps k hits per
-    query, so no pair list is written.
-    """
-    slices = max(1, -(-queries.count() // QUERY_SLICE))
-    part = F.pmod(F.xxhash64("qid"), F.lit(slices))
-    found = None
-    for i in range(slices):
-        hits = _slice_hits(vectors, queries.where(part == i), k)
-        found = hits if found is None else found.unionByName(hits)
-    return best_per_group(found, ["qid"], k)
-
-
-def _slice_hits(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    held = queries.select("qid", "qvec").orderBy("qid").toPandas()
-    qids = held["qid"].to_numpy()
-    matrix = np.vstack([np.asarray(v, dtype="float64") for v in held["qvec"]]) if len(held) else np.zeros((0, 1))
-    shared = vectors.sparkSession.sparkContext.broadcast((qids, matrix, np.linalg.norm(matrix, axis=1)))
-
-    def run(batches):
-        ids, wanted, wanted_norms = shared.value
-        for pdf in batches:
-            if pdf.empty or not len(ids):
-                continue
-            pdf = pdf.sort_values("id", kind="stable")
-            own = pdf["id"].to_numpy()
-            block = np.vstack([np.asarray(v, dtype="float64") for v in pdf["vec"]])
-            scale = np.outer(np.linalg.norm(block, axis=1), wanted_norms)
-            scores = np.round(np.divide(block @ wanted.T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
-            # Ids ascend, so a stable sort breaks ties by id.
-            best = np.argsort(-scores, axis=0, kind="stable")[:k]
-            cols = np.broadcast_to(np.arange(len(ids)), best.shape)
-            yield pd.DataFrame({"qid": ids[cols.ravel()], "id": own[best.ravel()], "score": scores[best, cols].ravel()})
-
-    return vectors.select("id", "vec").mapInPandas(run, "qid bigint, id bigint, score double")
+    """(qid, id, score, rank): the k nearest vectors (id, vec) of each query (qid, qvec) by cosine."""
+    items = bl.unit(bl.dense_vectors(vectors, "id", "vec"))
+    return bl.block_topk(items, bl.unit(bl.dense_vectors(queries, "qid", "qvec")), k)
 
 
 def embed(tf: DataFrame, vocab: DataFrame, n_docs: Column) -> DataFrame:
@@ -116,11 +81,46 @@ def dense(sparse: DataFrame, dim: int) -> DataFrame:
     return entries.select("id", F.transform(spots, lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vec"))
 
 
-def sparse_search(sparse: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, score): cosine of normalised sparse rows, for every query that shares a term."""
-    q = queries.select(F.col("id").alias("qid"), "idx", F.col("w").alias("qw"))
-    met = sparse.join(q, "idx").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
-    return met.withColumn("score", F.round("score", 6))
+def sparse_search(sparse: DataFrame, queries: DataFrame, k: int, groups: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score, rank): the k items that share a term with a query and are nearest to it.
+
+    ``sparse`` and ``queries`` hold normalised rows (id, idx, w); with ``groups`` (id, group), the k of
+    each group.
+    """
+    items = bl.sparse_vectors(sparse)
+    if groups is not None:
+        items = items.join(groups, "id")
+    wanted = bl.sparse_vectors(queries).withColumnRenamed("id", "qid")
+    return bl.block_topk(items, wanted, k, None if groups is None else next(c for c in groups.columns if c != "id"), 0.0)
+
+
+class Provider(NamedTuple):
+    """An index that answers queries: ``ask(queries)`` gives (qid, id, score, rank)."""
+
+    name: str
+    indexed: DataFrame
+    dim: int
+    ask: Callable[[DataFrame], DataFrame]
+
+
+def cascade(providers: list[Provider], queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hits with provider, stats): each provider is asked only what the ones before left unanswered.
+
+    ``queries`` has qid and what the providers read. Stats: (provider, indexed, dim, asked, answered, hits).
+    """
+    left, hits, stats = queries, [], []
+    for p in providers:
+        found = settle(p.ask(left).withColumn("provider", F.lit(p.name)))
+        answered = found.select("qid").distinct()
+        hits.append(found)
+        one = p.indexed.agg(F.count(F.lit(1)).alias("indexed"))
+        asked = left.agg(F.count(F.lit(1)).alias("asked"))
+        got = found.agg(F.count_distinct("qid").alias("answered"), F.count(F.lit(1)).alias("hits"))
+        # Three one-row results side by side.
+        named = F.lit(p.name).alias("provider"), F.lit(p.dim).cast("bigint").alias("dim")
+        stats.append(one.select(*named, "indexed", asked.scalar().alias("asked"), got.select("answered").scalar().alias("answered"), got.select("hits").scalar().alias("hits")))
+        left = left.join(answered, "qid", "left_anti")
+    return reduce(DataFrame.unionByName, hits), reduce(DataFrame.unionByName, stats)
 
 
 def pattern_regex(pattern: str) -> str:

@@ -8,6 +8,7 @@ from lexiloom.functions import text as tx
 from lexiloom.operators import lexical as lx, search as se
 from lexiloom.plans import sqlparts as sp
 from lexiloom.plans.registry import register, table_fn
+from lexiloom.session import settle
 
 DIM = 256
 COS = "list_sum(list_transform(list_zip({a}::DOUBLE[], {b}::DOUBLE[]), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform({a}::DOUBLE[], lambda x: x * x))) * sqrt(list_sum(list_transform({b}::DOUBLE[], lambda x: x * x))))"
@@ -108,18 +109,19 @@ BQ = f"""
 IX = f"WITH {sp.tf()}, {sp.TFIDF_W}, {VOCAB}, {EMB}, {sp.REPS}, {BQ}"
 
 
-def index_search(spark, sf):
-    """(qid, id, score): every benchmark item against the index of the documents."""
+def index_search(spark, sf, k, groups=None):
+    """(qid, id, score, rank): every benchmark item against the index of the documents."""
     docs = table_fn(spark, sf)("documents")
-    vocab, n = _vocab(docs)
+    tf, n = settle(lx.corpus_tf(docs)), lx.corpus_size(docs)
+    vocab = lx.vocabulary(lx.tfidf_weights(tf, n), DIM)
     items = table_fn(spark, sf)("benchmark").select(F.col("item_id").alias("id"), tx.word_tokens(F.col("text")).alias("toks"))
     queries = se.embed(lx.term_counts(items, F.col("toks"), "id"), vocab, n)
-    return se.sparse_search(se.embed(lx.corpus_tf(docs), vocab, n), queries)
+    return se.sparse_search(se.embed(tf, vocab, n), queries, k, groups)
 
 
 @register("index_search", "K7 K16", f"{IX} SELECT * FROM rk WHERE rank <= 20")
 def index_search_query(spark, sf):
-    return se.best_per_group(index_search(spark, sf), ["qid"], 20)
+    return index_search(spark, sf, 20)
 
 
 @register(
@@ -129,7 +131,7 @@ def index_search_query(spark, sf):
 )
 def role_partitioned_search(spark, sf):
     roles = table_fn(spark, sf)("documents").select(F.col("doc_id").alias("id"), "lang")
-    return se.best_per_group(index_search(spark, sf).join(roles, "id"), ["qid", "lang"], 3)
+    return index_search(spark, sf, 3, roles)
 
 
 @register(
@@ -141,27 +143,60 @@ def role_partitioned_search(spark, sf):
 )
 def owner_rollup(spark, sf):
     owners = table_fn(spark, sf)("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("owner"))
-    hits = se.best_per_group(index_search(spark, sf), ["qid"], 20).drop("rank").join(owners, "id")
+    hits = index_search(spark, sf, 20).drop("rank").join(owners, "id")
     rolled = hits.groupBy("qid", "owner").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("paths"), F.min("id").alias("first_path"))
     return se.best_per_group(rolled, ["qid"], 5, "best", "owner")
 
 
-@register(
-    "provider_cascade",
-    "K17 A18",
-    f"""{IX}, p AS (SELECT qid, id, score, 1 AS priority FROM rk WHERE rank <= 5 AND score >= 0.5 UNION ALL SELECT qid, id, score, 2 FROM rk WHERE rank <= 3),
- m AS (SELECT qid, min(priority) AS priority FROM p GROUP BY qid) SELECT p.* FROM p JOIN m USING (qid, priority)""",
-)
+# Benchmark items ask with their text first, with a stored vector if no document reaches CLEAR.
+CLEAR = 0.5
+CASCADE = f"""{IX}, p1 AS (SELECT qid, id, score, rank, 'terms' AS provider FROM rk WHERE rank <= 5 AND score >= {CLEAR}),
+ ask AS (SELECT item_id AS qid, embedding AS qv FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id NOT IN (SELECT qid FROM p1)),
+ cs AS (SELECT qid, vec_id AS id, round({COS.format(a='embedding', b='qv')}, 6) AS score FROM embeddings JOIN ask ON vec_id <> qid),
+ p2 AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM cs)"""
+
+
+def cascade(spark, sf):
+    """Two indexes behind one interface: term vectors of documents, then stored embeddings."""
+    t = table_fn(spark, sf)
+    docs, stored = t("documents"), t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    tf, n = settle(lx.corpus_tf(docs)), lx.corpus_size(docs)
+    vocab = settle(lx.vocabulary(lx.tfidf_weights(tf, n), DIM))
+    vectors = settle(se.embed(tf, vocab, n))
+
+    def by_terms(queries):
+        words = queries.select(F.col("qid").alias("id"), tx.word_tokens(F.col("text")).alias("toks"))
+        asked = se.embed(lx.term_counts(words, F.col("toks"), "id"), vocab, n)
+        return se.sparse_search(vectors, asked, 5).where(F.col("score") >= CLEAR)
+
+    def by_vectors(queries):
+        # One more than wanted, as a query's own vector is in the index too.
+        known = queries.where("vec is not null").select("qid", F.col("vec").alias("qvec"))
+        near = se.batch_topk(stored, known, 4).where("id <> qid")
+        return se.best_per_group(near.drop("rank"), ["qid"], 3)
+
+    items = t("benchmark").select(F.col("item_id").alias("qid"), "text")
+    queries = items.join(stored.withColumnRenamed("id", "qid"), "qid", "left")
+    dim = len(stored.first()["vec"])
+    providers = [se.Provider("terms", vectors.select("id").distinct(), DIM, by_terms), se.Provider("vectors", stored, dim, by_vectors)]
+    return se.cascade(providers, queries)
+
+
+@register("provider_cascade", "K17", f"{CASCADE} SELECT * FROM p1 UNION ALL SELECT qid, id, score, rank, 'vectors' FROM p2 WHERE rank <= 3")
 def provider_cascade(spark, sf):
-    top = se.best_per_group(index_search(spark, sf), ["qid"], 5)
-    first = top.where("score >= 0.5").select("qid", "id", "score", F.lit(1).alias("priority"))
-    both = first.unionByName(top.where("rank <= 3").select("qid", "id", "score", F.lit(2).alias("priority")))
-    return both.withColumn("chosen", F.min("priority").over(W.partitionBy("qid"))).where("priority = chosen").drop("chosen")
+    return cascade(spark, sf)[0]
 
 
-@register("provider_index_stats", "A18", "SELECT label, count(*) AS vectors, max(len(embedding)) AS dim FROM embeddings GROUP BY label")
+@register(
+    "provider_index_stats",
+    "A18",
+    f"""{CASCADE} SELECT 'terms' AS provider, {DIM}::BIGINT AS dim, (SELECT count(DISTINCT em.id) FROM em JOIN reps ON rep_id = em.id) AS indexed, (SELECT count(*) FROM benchmark) AS asked,
+  (SELECT count(DISTINCT qid) FROM p1) AS answered, (SELECT count(*) FROM p1) AS hits
+ UNION ALL SELECT 'vectors', (SELECT max(len(embedding)) FROM embeddings), (SELECT count(*) FROM embeddings),
+  (SELECT count(*) FROM benchmark WHERE item_id NOT IN (SELECT qid FROM p1)), (SELECT count(DISTINCT qid) FROM p2), (SELECT count(*) FROM p2 WHERE rank <= 3)""",
+)
 def provider_index_stats(spark, sf):
-    return table_fn(spark, sf)("embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.max(F.size("embedding")).cast("bigint").alias("dim"))
+    return cascade(spark, sf)[1]
 
 
 TURN_TEXTS = "(SELECT conv_id || ':' || turn AS id, text FROM conversations)"
@@ -171,12 +206,12 @@ SEC_SEARCH = f"""WITH {sp.tf(TURN_TEXTS, 'id')}, {sp.TFIDF_W}, {VOCAB}, {EMB}, {
 @register("section_search", "K9", f"{SEC_SEARCH} SELECT * FROM rk WHERE rank <= 10 AND score >= 0.05")
 def section_search(spark, sf):
     secs = table_fn(spark, sf)("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    tf = lx.term_counts(secs.withColumn("toks", tx.word_tokens(F.col("text"))), F.col("toks"), "id").withColumn("copies", F.lit(1))
+    tf = settle(lx.term_counts(secs.withColumn("toks", tx.word_tokens(F.col("text"))), F.col("toks"), "id").withColumn("copies", F.lit(1)))
     n = lx.corpus_size(secs)
     vocab = lx.vocabulary(lx.tfidf_weights(tf, n), DIM)
     items = table_fn(spark, sf)("benchmark").select(F.col("item_id").alias("id"), tx.word_tokens(F.col("text")).alias("toks"))
-    scored = se.sparse_search(se.embed(tf, vocab, n), se.embed(lx.term_counts(items, F.col("toks"), "id"), vocab, n))
-    return se.best_per_group(scored, ["qid"], 10).where("score >= 0.05")
+    scored = se.sparse_search(se.embed(tf, vocab, n), se.embed(lx.term_counts(items, F.col("toks"), "id"), vocab, n), 10)
+    return scored.where("score >= 0.05")
 
 
 @register(
