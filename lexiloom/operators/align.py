@@ -7,22 +7,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from lexiloom.functions import hashing, text as tx
 
 
-def cross_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(lid, rid, sim) of all left-right pairs that share a term; inputs (id, term, w).
-
-    A skewed term is split by adaptive execution on the right side; products combine per pair
-    before the shuffle.
-    """
-    def unit(rows: DataFrame) -> DataFrame:
-        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))
-        return rows.select("id", "term", (F.col("w") / norm).alias("w"))
-
-    a = unit(left).toDF("lid", "term", "lw")
-    b = unit(right).toDF("rid", "term", "rw")
-    met = a.join(b, "term").groupBy("lid", "rid").agg(F.sum(F.col("lw") * F.col("rw")).alias("sim"))
-    return met.select("lid", "rid", F.round(F.least("sim", F.lit(1.0)), 6).alias("sim"))
-
-
 def literal_overlaps(required: DataFrame, evidence: DataFrame) -> DataFrame:
     """(lid, rid, overlap): share of a requirement's literals an item holds, from two hits on.
 
@@ -56,6 +40,11 @@ LOWEST_THRESHOLD = 0.08
 CLEAR_GAP = 0.05
 
 
+def lowest_limit(threshold: float) -> float:
+    """The limit of a requirement whose best edge is clearly ahead."""
+    return max(threshold * 0.5, LOWEST_THRESHOLD)
+
+
 def trace_edges(scores: DataFrame, threshold: float) -> DataFrame:
     """(lid, rid, score, rank, limit, status): the ten best edges per requirement and all above its limit.
 
@@ -65,7 +54,7 @@ def trace_edges(scores: DataFrame, threshold: float) -> DataFrame:
     best_two = scores.groupBy("lid").agg(F.max("score").alias("top1"))
     ranked = scores.withColumn("rank", F.row_number().over(group.orderBy(F.desc("score"), "rid")))
     second = ranked.where("rank = 2").select("lid", F.col("score").alias("top2"))
-    lowered = max(threshold * 0.5, LOWEST_THRESHOLD)
+    lowered = lowest_limit(threshold)
     gap = F.round(F.col("top1") - F.coalesce("top2", F.lit(0.0)), 6)
     limit = F.when(
         (F.col("top1") < threshold) & (F.col("top1") >= lowered) & (gap >= CLEAR_GAP), F.lit(lowered)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as tx
-from lexiloom.operators import align as al, divergence as dv
+from lexiloom.operators import align as al, divergence as dv, impact as im
 from lexiloom.plans import sqlparts as sp
 from lexiloom.plans.corpora import BOTH, _both
 from lexiloom.plans.registry import register, table_fn
@@ -28,18 +28,20 @@ TRACE = f"""{BOTH},
 
 
 def trace(spark, sf):
+    """Edges of all requirements, written once for all that is read from them."""
     docs = _both(spark, sf)
-    weights = dv.sided_weights(docs).select("id", "term", "w")
-    sims = al.cross_cosine(weights.where("id LIKE 'a:%'"), weights.where("id LIKE 'b:%'"))
+    weights = settle(dv.sided_weights(docs).select("id", "term", "w"))
+    sims = im.best_pairs(weights.where("id LIKE 'a:%'"), weights.where("id LIKE 'b:%'"), al.MIN_EDGES, al.lowest_limit(THRESHOLD))
     key = F.concat_ws(":", "side", F.col("id").cast("string"))
     numbers = docs.select("side", key.alias("id"), F.explode(tx.matches(F.col("text"), "[0-9]{2,}")).alias("literal")).distinct()
     overlaps = al.literal_overlaps(
         numbers.where("side = 'a'").select("id", "literal"), numbers.where("side = 'b'").select("id", "literal")
     )
+    # A pair absent from sims lies below both the ten best and the lowest limit by its words alone.
     scores = sims.join(overlaps, ["lid", "rid"], "full_outer").select(
         "lid", "rid", F.greatest(F.coalesce("sim", F.lit(0.0)), F.coalesce("overlap", F.lit(0.0))).alias("score")
     )
-    return al.trace_edges(scores, THRESHOLD)
+    return settle(al.trace_edges(settle(scores), THRESHOLD))
 
 
 @register("trace_edges", "J29 J30 D28", f"WITH {TRACE} SELECT * FROM edges")
@@ -79,7 +81,7 @@ DIFF = f"""{PREF},
 
 def diff(spark, sf):
     t = table_fn(spark, sf)
-    edges = settle(trace(spark, sf))
+    edges = trace(spark, sf)
     docs = t("documents").select(F.concat(F.lit("b:"), F.col("doc_id").cast("string")).alias("rid"), "lang", "source", (F.col("n_chars") < 400).alias("type_only"))
     logic = docs.groupBy("source").agg(F.bool_or(F.col("lang") == "de").alias("file_has_logic"))
     chosen = preferred(spark, sf, edges).join(docs.join(logic, "source"), "rid")
