@@ -12,6 +12,7 @@ Decoding gathers bytes by an offset table: token i is blob[offsets[i] : offsets[
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -26,7 +27,7 @@ from lexiloom.llm.fill_in_middle import byte_slices
 #: Fixed value: the pattern of the byte-level pre-tokenizer that these vocabularies were made with.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and pairs remembered by a worker.
-MEMO = 50_000
+MEMO = 400_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -112,7 +113,7 @@ class Codec:
         whole = self.number.get(piece)
         if whole is not None:
             return [whole]
-        n, lengths = len(piece), self.lengths
+        n, lengths, fits = len(piece), self.lengths, self.fits
         longest = [0] * n
         for end, k in self.automaton.iter(piece.decode("latin-1")):
             longest[end - lengths[k] + 1] = k
@@ -121,7 +122,8 @@ class Codec:
         at, token = 0, longest[0]
         while at < n:
             end = at + lengths[token]
-            if not dead[end] and (not out or self.compatible(out[-1], token)):
+            known = fits.get((out[-1], token)) if out else True
+            if not dead[end] and (known or (known is None and self.compatible(out[-1], token))):
                 out.append(token)
                 at = end
                 token = longest[at] if at < n else -1
@@ -138,7 +140,7 @@ class Codec:
     def packed(self, piece: str) -> bytes:
         known = self.memo.get(piece)
         if known is None:
-            known = np.array([self.outer[k] for k in self.encode_piece(piece.encode("utf-8"))], dtype="<i4").tobytes()
+            known = array("i", map(self.outer.__getitem__, self.encode_piece(piece.encode("utf-8")))).tobytes()
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             if len(piece) <= 64:
