@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lexiloom.functions import hashing, text as tx
+from lexiloom.operators import prefix as px
 
 
 def literal_overlaps(required: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -126,12 +127,16 @@ def should_fail(items: DataFrame, categories: list[str]) -> DataFrame:
 
 
 def contiguous_groups(units: DataFrame) -> DataFrame:
-    """Adds ``group_start``: first line of the run of touching units of one file and kind."""
-    order = W.partitionBy("file", "kind").orderBy("start_line", "end_line", "id")
-    reached = F.max("end_line").over(order.rowsBetween(W.unboundedPreceding, -1))
-    breaks = F.when(reached.isNull() | (F.col("start_line") > reached + 1), F.col("start_line"))
-    marked = units.withColumn("_b", breaks)
-    return marked.withColumn("group_start", F.last("_b", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_b")
+    """Adds ``group_start``: first line of the run of touching units of one file and kind.
+
+    Units are scanned range by range, so a file of any size is spread over tasks.
+    """
+    group, order = ["file", "kind"], ["start_line", "end_line", "id"]
+    reached = px.running_max(px.ranged(units, group, order), group, order, F.col("end_line"), "_reached", inclusive=False)
+    fresh = F.col("_reached").isNull() | (F.col("start_line") > F.col("_reached") + 1)
+    # Lines ascend, so the last start of a run is the largest so far.
+    marked = px.running_max(reached, group, order, F.when(fresh, F.col("start_line")), "group_start")
+    return marked.drop("_reached", "_rng")
 
 
 # Confidence of each way a text names a unit.
@@ -238,8 +243,9 @@ def snapshot_history(runs: DataFrame) -> DataFrame:
 
     ``runs``: (series, run, fingerprint) in order of run; the last run of each stretch stays.
     """
-    nxt = F.lead("fingerprint").over(W.partitionBy("series").orderBy("run"))
-    return runs.withColumn("_n", nxt).where(F.col("_n").isNull() | (F.col("_n") != F.col("fingerprint"))).drop("_n")
+    group, order = ["series"], ["run"]
+    known = px.following(px.ranged(runs, group, order), group, order, "fingerprint", "_n")
+    return known.where(F.col("_n").isNull() | (F.col("_n") != F.col("fingerprint"))).drop("_n", "_rng")
 
 
 def candidate_digest(*cols: str) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, Window as W
+from pyspark.sql import functions as F
 
 from lexiloom.functions import text as tx
-from lexiloom.operators import components as cc, graph as gr
+from lexiloom.operators import components as cc, graph as gr, prefix as px
 from lexiloom.plans.lexical import folded_pairs
 from lexiloom.plans.dedup import CLUSTER_SQL
 from lexiloom.plans.registry import register, table_fn
@@ -68,8 +68,9 @@ def transitions(spark, sf):
     ev = table_fn(spark, sf)("events").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("src"), "user_id", "ts", "event_id"
     )
-    nxt = F.lead("src").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return ev.select("src", nxt.alias("dst")).where("dst IS NOT NULL").distinct()
+    group, order = ["user_id"], ["ts", "event_id"]
+    steps = px.following(px.ranged(ev, group, order), group, order, "src", "dst")
+    return steps.select("src", "dst").where("dst IS NOT NULL").distinct()
 
 
 @register("module_dependencies", "G3 D17 D18", f"WITH {E_SQL} SELECT src, dst, via FROM edges WHERE kind = 'depends_on'")
