@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lexiloom.functions import hashing, text as tx
 from lexiloom.operators import prefix as px
+from lexiloom.session import settle
 
 
 def literal_overlaps(required: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -161,36 +162,53 @@ def unit_keys(units: DataFrame) -> DataFrame:
     return units.select("unit", F.explode(keys).alias("k")).where("k IS NOT NULL").select("unit", "k.key", "k.score")
 
 
-def fragment_keys(fragments: DataFrame) -> DataFrame:
+ATOM_BREAKS = r"[^a-z0-9_#.:`\-\x{c0}-\x{ff}]+"
+
+
+def fragment_keys(fragments: DataFrame, max_words: int = 1) -> DataFrame:
     """(key, fragment): the first fragment that holds a key; fragments (fragment, text).
 
-    Only the first is needed for a best match, so a word that fills the corpus stays one row.
+    Keys are runs of up to ``max_words`` words as written, with the dots, colons and backticks that join or
+    enclose them, and the same without backticks; single words also stand for file names. Only the
+    first fragment is needed for a best match, and it is found map-side, so a word that fills the
+    corpus stays one row.
     """
-    low = tx.ascii_lower(F.col("text"))
-    words = tx.matches(low, r"[a-z0-9_\x{c0}-\x{ff}]+(?:(?:\.|::)[a-z0-9_\x{c0}-\x{ff}]+)*")
-    codes = tx.matches(low, r"(`[^`\n]+`)", 1)
-    files = F.transform(tx.word_tokens(F.col("text")), lambda w: F.concat(F.lit("file:"), w))
-    keys = F.array_distinct(F.concat(words, tx.word_tokens(F.col("text")), codes, files))
-    rows = fragments.select("fragment", F.explode(keys).alias("key"))
-    return rows.groupBy("key").agg(F.min("fragment").alias("fragment"))
+    def runs(atoms: Column) -> Column:
+        lengths = F.array(*(F.lit(n) for n in range(1, max_words + 1)))
+        starts = lambda n: F.when(F.size(atoms) >= n, F.sequence(F.lit(1), F.size(atoms) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(lengths, lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice(atoms, i, n), " "))))
+
+    trimmed = F.transform(F.split(tx.ascii_lower(F.col("text")), ATOM_BREAKS), lambda a: F.regexp_replace(a, r"^[.:\-]+|[.:\-]+$", ""))
+    rows = fragments.select("fragment", F.filter(trimmed, lambda a: a != "").alias("atoms"))
+    plain = F.filter(F.transform("atoms", lambda a: F.replace(a, F.lit("`"))), lambda a: a != "")
+    rows = rows.select("fragment", "atoms", plain.alias("plain"))
+    files = F.transform("plain", lambda a: F.concat(F.lit("file:"), a))
+    keys = F.array_distinct(F.concat(runs(F.col("atoms")), runs(F.col("plain")), files))
+    return rows.select("fragment", F.explode(keys).alias("key")).groupBy("key").agg(F.min("fragment").alias("fragment"))
 
 
 def best_fragment(units: DataFrame, fragments: DataFrame) -> DataFrame:
     """(unit, fragment, score): the strongest match per unit, the first fragment on a tie."""
-    met = unit_keys(units).join(fragment_keys(fragments), "key")
-    best = met.groupBy("unit").agg(F.max(F.struct("score", (-F.col("fragment")).alias("neg"))).alias("m"))
-    return best.select("unit", (-F.col("m.neg")).alias("fragment"), F.col("m.score").alias("score"))
+    longest = units.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
+    met = unit_keys(units).join(fragment_keys(fragments, longest), "key")
+    best = met.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("neg"), "fragment")).alias("m"))
+    return best.select("unit", F.col("m.fragment").alias("fragment"), (-F.col("m.neg")).alias("score"))
 
 
 def covered_modules(module_tokens: DataFrame, fragment_tokens: DataFrame) -> DataFrame:
     """(module): some fragment shares two tokens with it, one of them specific.
 
-    Inputs distinct: (module, token) and (fragment, token).
+    Inputs distinct: (module, token) and (fragment, token). Asks which pairs of a specific and another
+    token of one module occur together in a fragment; modules that share a pair share its row, so a
+    frequent token meets distinct partners, not all modules that use it.
     """
-    met = module_tokens.join(fragment_tokens, "token").groupBy("module", "fragment").agg(
-        F.count(F.lit(1)).alias("shared"), F.bool_or(tx.is_specific_token(F.col("token"))).alias("anchored")
-    )
-    return met.where("shared >= 2 AND anchored").select("module").distinct()
+    specific = module_tokens.where(tx.is_specific_token(F.col("token"))).withColumnRenamed("token", "anchor")
+    pairs = settle(specific.join(module_tokens, "module").where("token <> anchor"))
+    wanted = pairs.select("anchor", "token").distinct()
+    held = settle(fragment_tokens.join(module_tokens.select("token").distinct(), "token", "left_semi"))
+    asked = held.select("fragment", F.col("token").alias("anchor")).join(wanted, "anchor")
+    found = asked.join(held, ["fragment", "token"], "left_semi").select("anchor", "token").distinct()
+    return pairs.join(found, ["anchor", "token"], "left_semi").select("module").distinct()
 
 
 def time_relation(code_time: Column, doc_time: Column, tolerance: int) -> Column:

@@ -152,43 +152,65 @@ def label_literal_overlap(spark, sf):
     return al.pair_overlaps(required, evidence)
 
 
-# Units are documents named by their first word; fragments are conversation turns.
+# Units are parts: name with number, brand as namespace, brand and size as module. Fragments are notes on
+# order lines; each part is written about in one way only, so every level of a match occurs.
+STYLES = {
+    0: ("Use ", "brand", ".", "name", " here."),
+    1: ("See ", "brand", "::", "name", ", please"),
+    2: ("The `", "name", "` of this order"),
+    3: ("One ", "name", " was sent."),
+    4: ("A part of type ", "type"),
+}
+_SAY = {"brand": "p_brand", "name": "p_name || ' ' || p_partkey", "type": "p_type"}
+_NOTE_SQL = " ".join(f"WHEN {k} THEN " + " || ".join(_SAY.get(x) or f"'{x}'" for x in parts) for k, parts in STYLES.items())
 UNIT_SQL = f"""
- un AS (SELECT doc_id AS unit, ({sp.words('text')})[1] AS name, lang AS ns, source AS module, split_part(source, '1', 1) AS project, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS inline_doc FROM documents),
- fr AS (SELECT conv_id * 1000 + turn AS fragment, turn, {sp.words('text')} AS ws FROM conversations),
- ft AS (SELECT DISTINCT fragment, unnest(ws) AS token FROM fr), fk AS (SELECT token, min(fragment) AS fragment FROM ft GROUP BY token),
- mt AS (SELECT unit, fk.fragment, 85 AS score FROM un JOIN fk ON fk.token = un.name),
- fb AS (SELECT unit, fk.fragment, 45 AS score FROM un JOIN fk ON fk.token = un.module WHERE unit NOT IN (SELECT unit FROM mt)),
- best AS (SELECT * FROM mt UNION ALL SELECT * FROM fb)"""
+ un AS (SELECT p_partkey AS unit, lower(p_name) || ' ' || p_partkey AS name, lower(p_brand) AS ns, lower(p_brand) || '/' || p_size AS module, lower(p_brand) AS project,
+  CASE WHEN p_size > 40 THEN '' ELSE lower(p_type) END AS base, p_size % 7 = 0 AS inline_doc, p_size AS code_time FROM part),
+ fr AS (SELECT l_orderkey || ':' || l_linenumber AS fragment, day(l_shipdate) AS doc_time, CASE l_partkey % 6 {_NOTE_SQL} ELSE 'No remark' END AS text FROM lineitem JOIN part ON l_partkey = p_partkey),
+ at0 AS (SELECT fragment, list_filter(list_transform(string_split_regex(lower(text), '[^a-z0-9_#.:`\-]+'), lambda a: regexp_replace(a, '^[.:\-]+|[.:\-]+$', '', 'g')), lambda a: a <> '') AS ats FROM fr),
+ gr AS (SELECT fragment, ats, unnest(range(1, 4)) AS n FROM at0), gk AS (SELECT fragment, unnest(list_transform(range(1, len(ats) - n + 2), lambda i: array_to_string(ats[i:i + n - 1], ' '))) AS key FROM gr),
+ fk AS (SELECT key, min(fragment) AS fragment FROM (SELECT fragment, key FROM gk UNION ALL SELECT fragment, replace(key, '`', '') FROM gk UNION ALL SELECT fragment, 'file:' || replace(unnest(ats), '`', '') FROM at0) GROUP BY key),
+ uk AS (SELECT unit, ns || '.' || name AS key, 100 AS score FROM un UNION ALL SELECT unit, ns || '::' || name, 95 FROM un UNION ALL SELECT unit, '`' || name || '`', 92 FROM un
+  UNION ALL SELECT unit, name, 85 FROM un UNION ALL SELECT unit, 'file:' || base, 45 FROM un WHERE base <> ''),
+ best AS (SELECT unit, fragment, score FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, fragment) AS r FROM uk JOIN fk USING (key)) WHERE r = 1)"""
 
 
 def units(spark, sf):
-    t = table_fn(spark, sf)
-    good = t("labels").where("quality = 1").select(F.col("doc_id").alias("unit"), F.lit(True).alias("inline_doc"))
-    docs = t("documents").select(
-        F.col("doc_id").alias("unit"), F.try_element_at(tx.word_tokens(F.col("text")), F.lit(1)).alias("name"), F.col("lang").alias("ns"),
-        F.col("source").alias("module"), F.col("source").alias("base"), F.split_part("source", F.lit("1"), F.lit(1)).alias("project"),
-    )
-    return docs.join(good, "unit", "left").fillna(False, ["inline_doc"])
+    part, size = table_fn(spark, sf)("part"), F.col("p_size")
+    brand = F.lower("p_brand")
+    return part.select(
+        F.col("p_partkey").alias("unit"), F.concat(F.lower("p_name"), F.lit(" "), F.col("p_partkey")).alias("name"), brand.alias("ns"),
+        F.concat(brand, F.lit("/"), size).alias("module"), brand.alias("project"), F.when(size > 40, "").otherwise(F.lower("p_type")).alias("base"),
+        (size % 7 == 0).alias("inline_doc"), size.alias("code_time"),
+    )
 
 
-def turn_fragments(spark, sf):
-    return table_fn(spark, sf)("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("fragment"), "turn", "text")
+def notes(spark, sf):
+    """(fragment, doc_time, text): what order lines say about their parts."""
+    t = table_fn(spark, sf)
+    part = t("part").select("p_partkey", "p_brand", "p_type", F.concat("p_name", F.lit(" "), F.col("p_partkey")).alias("p_name"))
+    lines = t("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    said = {"brand": F.col("p_brand"), "name": F.col("p_name"), "type": F.col("p_type")}
+    text = F.lit("No remark")
+    for k, parts in STYLES.items():
+        text = F.when(F.col("l_partkey") % 6 == k, F.concat(*(said[x] if x in said else F.lit(x) for x in parts))).otherwise(text)
+    return lines.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("fragment"), F.dayofmonth("l_shipdate").alias("doc_time"), text.alias("text"))
 
 
 @register("unit_fragment_matches", "J24 D27", f"WITH {UNIT_SQL} SELECT unit, fragment, score FROM best")
 def unit_fragment_matches(spark, sf):
-    return al.best_fragment(units(spark, sf), turn_fragments(spark, sf))
+    return al.best_fragment(units(spark, sf), notes(spark, sf))
 
 
-COVER = """
- mtk AS (SELECT DISTINCT module, name AS token FROM un WHERE name IS NOT NULL),
- cov AS (SELECT DISTINCT module FROM (SELECT module, fragment, count(*) AS k, bool_or(NOT regexp_matches(token, '^[0-9]+$') AND (regexp_matches(token, '[-_.]') OR (length(token) < 5 AND regexp_matches(token, '[0-9]')) OR length(token) >= 5)) AS a FROM mtk JOIN ft USING (token) GROUP BY ALL) WHERE k >= 2 AND a)"""
+COVER = f"""
+ mtk AS (SELECT DISTINCT module, unnest({sp.words('name')}) AS token FROM un), ft AS (SELECT DISTINCT fragment, unnest({sp.words('text')}) AS token FROM fr),
+ ftk AS (SELECT list_sort(list(token)) AS tokens FROM ft GROUP BY fragment), fts AS (SELECT row_number() OVER () AS s, tokens FROM (SELECT DISTINCT tokens FROM ftk)), fu AS (SELECT s, unnest(tokens) AS token FROM fts),
+ cov AS (SELECT DISTINCT module FROM (SELECT module, s, count(*) AS k, bool_or(NOT regexp_matches(token, '^[0-9]+$') AND (regexp_matches(token, '[-_.]') OR (length(token) < 5 AND regexp_matches(token, '[0-9]')) OR length(token) >= 5)) AS a FROM mtk JOIN fu USING (token) GROUP BY ALL) WHERE k >= 2 AND a)"""
 
 
 def covered(spark, sf):
-    names = units(spark, sf).where("name IS NOT NULL").select("module", F.col("name").alias("token")).distinct()
-    words = turn_fragments(spark, sf).select("fragment", F.explode(F.array_distinct(tx.word_tokens(F.col("text")))).alias("token"))
+    names = units(spark, sf).select("module", F.explode(tx.word_tokens(F.col("name"))).alias("token")).distinct()
+    words = notes(spark, sf).select("fragment", F.explode(F.array_distinct(tx.word_tokens(F.col("text")))).alias("token"))
     return al.covered_modules(names, words)
 
 
@@ -204,23 +226,24 @@ def covered_modules(spark, sf):
 )
 def undocumented_units(spark, sf):
     every = units(spark, sf)
-    matched = al.best_fragment(every, turn_fragments(spark, sf)).select("unit")
+    matched = al.best_fragment(every, notes(spark, sf)).select("unit")
     return every.where("NOT inline_doc").join(matched, "unit", "left_anti").join(covered(spark, sf), "module", "left_anti").select("unit")
 
 
 STATUS_SQL = f"""{UNIT_SQL},
- tr AS (SELECT un.unit, module, project, score, CASE WHEN abs(un.unit % 40 - fr.turn) <= 2 THEN 'in_sync' WHEN un.unit % 40 - fr.turn > 0 THEN 'doc_older' ELSE 'doc_newer' END AS relation FROM best JOIN un USING (unit) JOIN fr USING (fragment)),
+ tr AS (SELECT un.unit, module, project, score, CASE WHEN abs(code_time - doc_time) <= 2 THEN 'in_sync' WHEN code_time - doc_time > 0 THEN 'doc_older' ELSE 'doc_newer' END AS relation FROM best JOIN un USING (unit) JOIN (SELECT fragment, max(doc_time) AS doc_time FROM fr GROUP BY fragment) USING (fragment)),
  cs AS (SELECT *, CASE WHEN relation = 'doc_older' THEN 'stale_doc' WHEN relation = 'doc_newer' AND score >= 85 THEN 'in_sync' WHEN relation = 'doc_newer' THEN 'review_both' WHEN score < 80 THEN 'review_mapping' ELSE 'in_sync' END AS status FROM tr),
  mo AS (SELECT module AS path, status, count(*) AS candidates FROM cs GROUP BY ALL), pj AS (SELECT project AS path, status, count(*) AS candidates, count(DISTINCT module) AS modules FROM cs GROUP BY ALL),
  ag AS (SELECT 'module' AS scope, path, status, candidates FROM mo WHERE candidates >= 2 UNION ALL SELECT 'project', path, status, candidates FROM pj WHERE candidates >= 3 AND modules >= 2)"""
 
 
 def candidates(spark, sf):
-    """Matched units with the age of both sides: document number and turn stand for the times."""
-    best = al.best_fragment(units(spark, sf), turn_fragments(spark, sf))
-    rows = best.join(units(spark, sf).select("unit", "module", "project"), "unit").join(turn_fragments(spark, sf).select("fragment", "turn"), "fragment")
-    rows = rows.withColumn("relation", al.time_relation(F.col("unit") % 40, F.col("turn"), 2))
-    return rows.withColumn("status", al.match_status(F.col("relation"), F.col("score")))
+    """Matched units with the age of both sides: part size and day of shipping stand for the times."""
+    best = settle(al.best_fragment(units(spark, sf), notes(spark, sf)))
+    dated = notes(spark, sf).join(best.select("fragment").distinct(), "fragment", "left_semi").groupBy("fragment").agg(F.max("doc_time").alias("doc_time"))
+    rows = best.join(units(spark, sf).select("unit", "module", "project", "code_time"), "unit").join(dated, "fragment")
+    rows = rows.withColumn("relation", al.time_relation(F.col("code_time"), F.col("doc_time"), 2))
+    return settle(rows.withColumn("status", al.match_status(F.col("relation"), F.col("score"))))
 
 
 @register("match_statuses", "J27", f"WITH {STATUS_SQL} SELECT unit, relation, status FROM cs")
