@@ -8,6 +8,7 @@ from lexiloom.functions import hashing, text as tx
 from lexiloom.operators import divergence as dv, lexical as lx
 from lexiloom.plans import sqlparts as sp
 from lexiloom.plans.registry import register, table_fn
+from lexiloom.session import settle
 
 BOTH = """
  docs AS (SELECT 'a' AS side, item_id AS id, text FROM benchmark UNION ALL SELECT 'b', doc_id, text FROM documents)"""
@@ -123,33 +124,43 @@ def out_of_source_terms(spark, sf):
     return dv.coverage_gaps(_both(spark, sf), "b")
 
 
-# Acts are the user turns of a conversation, implementations its assistant turns.
+# A story is a conversation: its user turns are the acts, its assistant turns the implementations.
 ACT_SQL = f"""
- tn AS (SELECT conv_id, turn, role, {sp.words('text')} AS toks FROM conversations WHERE role <> 'system'),
+ tn AS (SELECT conv_id, turn, role, {sp.words('text')} AS toks FROM conversations WHERE role IN ('user', 'assistant')),
  tt AS (SELECT conv_id, turn, role, unnest(toks) AS term FROM tn), tf AS (SELECT conv_id, turn, role, term, count(*) AS n FROM tt GROUP BY ALL),
  dl AS (SELECT conv_id, turn, sum(n) AS dl FROM tf GROUP BY ALL),
- pr AS (SELECT a.conv_id, a.turn AS act, b.turn AS impl FROM tn a JOIN tn b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant' WHERE len(a.toks) > 0 AND len(b.toks) > 0),
- ta AS (SELECT p.conv_id, act, impl, term, n, dl FROM pr p JOIN tf ON tf.conv_id = p.conv_id AND tf.turn = act JOIN dl ON dl.conv_id = p.conv_id AND dl.turn = act),
- tb AS (SELECT p.conv_id, act, impl, term, n, dl FROM pr p JOIN tf ON tf.conv_id = p.conv_id AND tf.turn = impl JOIN dl ON dl.conv_id = p.conv_id AND dl.turn = impl),
- ln AS (SELECT DISTINCT a.conv_id, a.act, a.impl, a.dl AS la, b.dl AS lb FROM (SELECT DISTINCT conv_id, act, impl, dl FROM ta) a JOIN (SELECT DISTINCT conv_id, act, impl, dl FROM tb) b USING (conv_id, act, impl)),
- jn AS (SELECT coalesce(ta.conv_id, tb.conv_id) AS conv_id, coalesce(ta.act, tb.act) AS act, coalesce(ta.impl, tb.impl) AS impl, coalesce(ta.n, 0) AS na, coalesce(tb.n, 0) AS nb
-   FROM ta FULL JOIN tb ON ta.conv_id = tb.conv_id AND ta.act = tb.act AND ta.impl = tb.impl AND ta.term = tb.term),
- ww AS (SELECT conv_id, act, impl, CASE WHEN na > 0 AND nb > 0 THEN 1 ELSE ln(1.5) + 1 END AS idf, na, nb, la, lb, (la + lb) / 2.0 AS av FROM jn JOIN ln USING (conv_id, act, impl)),
- xx AS (SELECT conv_id, act, impl, idf * na * 2.2 / (na + 1.2 * (0.25 + 0.75 * la / av)) AS wa, idf * nb * 2.2 / (nb + 1.2 * (0.25 + 0.75 * lb / av)) AS wb FROM ww),
- sm AS (SELECT conv_id, act, impl, round(least(sum(wa * wb) / sqrt(sum(wa * wa) * sum(wb * wb)), 1.0), 6) AS sim FROM xx GROUP BY ALL)"""
+ sn AS (SELECT conv_id, count(*) AS k FROM tn GROUP BY conv_id), sv AS (SELECT conv_id, avg(dl) AS mean FROM dl GROUP BY conv_id), sd AS (SELECT conv_id, term, count(*) AS df FROM tf GROUP BY ALL),
+ sw AS (SELECT conv_id, turn, role, term, (ln((1.0 + k) / (1.0 + df)) + 1) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * dl / mean)) AS w FROM tf JOIN sd USING (conv_id, term) JOIN dl USING (conv_id, turn) JOIN sn USING (conv_id) JOIN sv USING (conv_id)),
+ sq AS (SELECT conv_id, turn, sqrt(sum(w * w)) AS nrm FROM sw GROUP BY ALL),
+ sm AS (SELECT a.conv_id, a.turn AS act, b.turn AS impl, round(least(sum(a.w * b.w) / any_value(x.nrm * y.nrm), 1.0), 6) AS sim FROM sw a JOIN sw b ON a.conv_id = b.conv_id AND a.term = b.term AND a.role = 'user' AND b.role = 'assistant'
+   JOIN sq x ON x.conv_id = a.conv_id AND x.turn = a.turn JOIN sq y ON y.conv_id = b.conv_id AND y.turn = b.turn GROUP BY ALL)"""
+PAIR_W = "CASE WHEN {n} > 0 THEN CASE WHEN na > 0 AND nb > 0 THEN 1 ELSE ln(1.5) + 1 END * {n} * 2.2 / ({n} + 1.2 * (0.25 + 0.75 * {l} / ((la + lb) / 2.0))) ELSE 0 END"
+PAIR_X = f"{PAIR_W.format(n='na', l='la')} AS wa, {PAIR_W.format(n='nb', l='lb')} AS wb"
+UNION_SQL = f"""{ACT_SQL},
+ ua AS (SELECT conv_id, term, sum(n) AS na FROM tf WHERE role = 'user' GROUP BY ALL), ub AS (SELECT conv_id, term, sum(n) AS nb FROM tf WHERE role = 'assistant' GROUP BY ALL),
+ ta AS (SELECT conv_id, sum(na) AS la FROM ua GROUP BY ALL), ib AS (SELECT conv_id, turn AS impl, term, n AS nb FROM tf WHERE role = 'assistant'), il AS (SELECT conv_id, impl, sum(nb) AS lb FROM ib GROUP BY ALL),
+ cj AS (SELECT conv_id, impl, term, na, 0 AS nb FROM il JOIN ua USING (conv_id) UNION ALL SELECT conv_id, impl, term, 0, nb FROM ib),
+ ck AS (SELECT conv_id, impl, term, sum(na) AS na, sum(nb) AS nb FROM cj GROUP BY ALL),
+ cx AS (SELECT conv_id, impl, {PAIR_X} FROM ck JOIN il USING (conv_id, impl) JOIN ta USING (conv_id)),
+ cb AS (SELECT conv_id, impl, round(least(sum(wa * wb) / sqrt(sum(wa * wa) * sum(wb * wb)), 1.0), 6) AS combined FROM cx GROUP BY ALL),
+ ou AS (SELECT coalesce(ua.conv_id, ub.conv_id) AS conv_id, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM ua FULL JOIN ub ON ua.conv_id = ub.conv_id AND ua.term = ub.term),
+ ol AS (SELECT conv_id, sum(na) AS la, sum(nb) AS lb FROM ou GROUP BY ALL), ox AS (SELECT conv_id, {PAIR_X} FROM ou JOIN ol USING (conv_id)),
+ ov AS (SELECT conv_id, round(CASE WHEN sum(wa * wa) = 0 OR sum(wb * wb) = 0 THEN 1.0 ELSE 1 - least(sum(wa * wb) / sqrt(sum(wa * wa) * sum(wb * wb)), 1.0) END, 6) AS overall FROM ox GROUP BY ALL)"""
 FLOOR, MARGIN = 0.05, 0.03
 
 
-def act_scores(spark, sf):
-    """(conv_id, act, impl, sim): BM25 of each user turn with each assistant turn of its conversation."""
-    from lexiloom.operators import pairwise as pw
+def _turns(spark, sf):
+    turns = table_fn(spark, sf)("conversations").where("role IN ('user', 'assistant')")
+    side = F.when(F.col("role") == "user", "a").otherwise("b")
+    return turns.select(F.col("conv_id").alias("story"), side.alias("side"), F.col("turn").alias("id"), "text")
 
-    turns = table_fn(spark, sf)("conversations").where("role <> 'system'")
-    a = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("act"), F.col("text").alias("left"))
-    b = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("impl"), F.col("text").alias("right"))
-    pairs = a.join(b, "conv_id").withColumn("key", F.struct("conv_id", "act", "impl"))
-    scored = pw.bm25_similarity(pairs, "key", "left", "right").where("sim > 0")
-    return scored.select("key.*", F.round("sim", 6).alias("sim"))
+
+def act_scores(spark, sf, counts=None):
+    """(conv_id, act, impl, sim): user and assistant turns of a conversation, under its own weights."""
+    turns = _turns(spark, sf)
+    counts = dv.story_counts(turns) if counts is None else counts
+    found = dv.attribution(dv.story_weights(counts, turns))
+    return settle(found.select(F.col("story").alias("conv_id"), F.col("a").alias("act"), F.col("b").alias("impl"), "sim"))
 
 
 def ranked_matches(scores):
@@ -164,10 +175,14 @@ def ranked_matches(scores):
 @register(
     "act_attribution",
     "E8 J33 D25",
-    f"WITH {ACT_SQL} SELECT conv_id, act, impl, sim FROM sm WHERE sim > 0",
+    f"WITH {UNION_SQL} SELECT conv_id, act, impl, sim, combined, overall FROM sm JOIN cb USING (conv_id, impl) JOIN ov USING (conv_id)",
 )
 def act_attribution(spark, sf):
-    return act_scores(spark, sf)
+    """Each pair's similarity, that of the implementation to all acts together, and the story's distance."""
+    counts = dv.story_counts(_turns(spark, sf))
+    combined = dv.combined_similarity(counts).select(F.col("story").alias("conv_id"), F.col("b").alias("impl"), "combined")
+    overall = dv.overall_distance(counts).withColumnRenamed("story", "conv_id")
+    return act_scores(spark, sf, counts).join(combined, ["conv_id", "impl"]).join(overall, "conv_id").select("conv_id", "act", "impl", "sim", "combined", "overall")
 
 
 @register(
@@ -197,8 +212,8 @@ ACTION_SQL = f"""{ACT_SQL},
  rk AS (SELECT *, max(sim) OVER (PARTITION BY conv_id, act) AS best, row_number() OVER (PARTITION BY conv_id, act ORDER BY sim DESC, impl) AS rank FROM sm WHERE sim >= {FLOOR}),
  bm AS (SELECT conv_id, act, max(CASE WHEN rank = 1 THEN impl END) AS impl, max(best) AS sim, count(*) FILTER (rank > 1 AND round(sim, 6) >= round(best - {MARGIN}, 6)) AS runners FROM rk GROUP BY ALL),
  cdf AS (SELECT term, count(*) AS df FROM tf GROUP BY term), nd AS (SELECT count(*) AS n FROM tn), av AS (SELECT avg(dl) AS avgdl FROM dl),
- fa AS (SELECT b.conv_id, b.act, ta.term, ta.n, ta.dl FROM bm b JOIN ta ON ta.conv_id = b.conv_id AND ta.act = b.act AND ta.impl = b.impl),
- fb AS (SELECT b.conv_id, b.act, tb.term, tb.n, tb.dl FROM bm b JOIN tb ON tb.conv_id = b.conv_id AND tb.act = b.act AND tb.impl = b.impl),
+ fa AS (SELECT b.conv_id, b.act, tf.term, tf.n, dl.dl FROM bm b JOIN tf ON tf.conv_id = b.conv_id AND tf.turn = b.act JOIN dl ON dl.conv_id = tf.conv_id AND dl.turn = tf.turn),
+ fb AS (SELECT b.conv_id, b.act, tf.term, tf.n, dl.dl FROM bm b JOIN tf ON tf.conv_id = b.conv_id AND tf.turn = b.impl JOIN dl ON dl.conv_id = tf.conv_id AND dl.turn = tf.turn),
  df AS (SELECT coalesce(fa.conv_id, fb.conv_id) AS conv_id, coalesce(fa.act, fb.act) AS act, coalesce(fa.term, fb.term) AS term,
    CASE WHEN fb.term IS NULL THEN 'missing' WHEN fa.term IS NULL THEN 'extra' ELSE 'covered' END AS bucket, coalesce(fa.n, fb.n) AS n, coalesce(fa.dl, fb.dl) AS dl
    FROM fa FULL JOIN fb ON fa.conv_id = fb.conv_id AND fa.act = fb.act AND fa.term = fb.term),
@@ -210,7 +225,7 @@ MAX_TERMS = 8
 
 def act_term_diffs(spark, sf):
     """(conv_id, act, bucket, term, weight): terms of the act and its best match by where they occur."""
-    turns = table_fn(spark, sf)("conversations").where("role <> 'system'")
+    turns = table_fn(spark, sf)("conversations").where("role IN ('user', 'assistant')")
     tf = lx.term_counts(turns.withColumn("toks", tx.word_tokens(F.col("text"))), F.col("toks"), "conv_id", "turn")
     sized = tf.withColumn("dl", F.sum("n").over(W.partitionBy("conv_id", "turn")))
     df = lx.document_frequency(tf)
