@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType
 
 from lexiloom.functions import text as tx
 from lexiloom.operators import lexical as lx
+from lexiloom.session import settle
 
 # Sentence ends, quotes that protect them, and the longest protected quote.
 TERMINATORS = ".!?。！？．"
@@ -20,6 +21,8 @@ QUOTE_OPENERS = "「『"
 TARGET_SIZE, MIN_SIZE, MAX_SIZE = 500, 100, 2000
 WINDOW = 3
 TFIDF_THRESHOLD = 0.45
+DIVERGENCE_THRESHOLD = 0.42
+ADAPTIVE_SHARE, ADAPTIVE_FLOOR = 0.2, 0.13
 PROMINENCE_SHARE = 0.2
 RRF_K = 60
 
@@ -178,73 +181,129 @@ def knee_index(series: DataFrame, value: str, key: str) -> DataFrame:
     return per.select(key, knee.cast("bigint").alias("knee"))
 
 
-def peaks(values: np.ndarray, threshold: float) -> list[int]:
-    """Positions of local maxima of the smoothed series that stand out by a fifth of its range."""
-    n = len(values)
-    if n < 3:
-        return [i for i in range(n) if values[i] >= threshold]
-    padded = np.pad(values, 1, constant_values=np.nan)
-    smooth = np.round(np.nanmean(np.stack([padded[:-2], padded[1:-1], padded[2:]]), axis=0), 9)
-    need = PROMINENCE_SHARE * (smooth.max() - smooth.min())
-    left_ok = np.concatenate([[True], smooth[1:] >= smooth[:-1]])
-    right_ok = np.concatenate([smooth[:-1] >= smooth[1:], [True]])
-    found = []
-    for i in np.flatnonzero((smooth >= threshold) & left_ok & right_ok):
-        higher_left = np.flatnonzero(smooth[:i] > smooth[i])
-        higher_right = np.flatnonzero(smooth[i + 1 :] > smooth[i])
-        lo = higher_left[-1] + 1 if len(higher_left) else 0
-        hi = i + 1 + higher_right[0] if len(higher_right) else n
-        cols = []
-        if i > 0:
-            cols.append(smooth[lo : i + 1].min())
-        if i < n - 1:
-            cols.append(smooth[i:hi].min())
-        if round(smooth[i] - max(cols), 9) >= round(need, 9):
-            found.append(int(i))
-    return found
+def peaks(values: Column, threshold: Column) -> Column:
+    """Positions from 0 of the local maxima of the smoothed series that stand out by a fifth of its range.
+
+    A series of less than three values is not smoothed: its values from the threshold on count.
+    """
+    n = F.size(values)
+    last = n - 1
+
+    def smoothed(v: Column, i: Column) -> Column:
+        near = F.slice(values, F.greatest(i, F.lit(1)), F.when((i == 0) | (i == last), 2).otherwise(3))
+        return F.round(F.aggregate(near, F.lit(0.0), lambda t, x: t + x) / F.size(near), 9)
+
+    def stands_out(s: Column, i: Column) -> Column:
+        own = F.get(s, i)
+        positions = F.sequence(F.lit(0), last)
+        left = F.coalesce(F.array_max(F.filter(positions, lambda j: (j < i) & (F.get(s, j) > own))), F.lit(-1))
+        right = F.coalesce(F.array_min(F.filter(positions, lambda j: (j > i) & (F.get(s, j) > own))), n)
+        low_left = F.when(i > 0, F.array_min(F.slice(s, left + 2, i - left)))
+        low_right = F.when(i < last, F.array_min(F.slice(s, i + 1, right - i)))
+        need = PROMINENCE_SHARE * (F.array_max(s) - F.array_min(s))
+        return F.round(own - F.greatest(low_left, low_right), 9) >= F.round(need, 9)
+
+    def maxima(s: Column) -> Column:
+        inside = F.filter(
+            F.sequence(F.lit(0), last),
+            lambda i: (F.get(s, i) >= threshold)
+            & ((i == 0) | (F.get(s, i) >= F.coalesce(F.get(s, i - 1), F.lit(0.0))))
+            & ((i == last) | (F.get(s, i) >= F.coalesce(F.get(s, i + 1), F.lit(0.0)))),
+        )
+        return F.filter(inside, lambda i: stands_out(s, i))
+
+    short = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.get(values, i) >= threshold)
+    long = F.element_at(F.transform(F.array(F.transform(values, smoothed)), maxima), 1)
+    return F.when(n == 0, F.array().cast("array<int>")).when(n < 3, short).otherwise(long)
+
+
+def packed_series(series: DataFrame) -> DataFrame:
+    """(id, wins, vals, spots): each series as arrays in order; no longer than its text has sentences."""
+    packed = series.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("win", "value", "end_pos"))).alias("s"))
+    return packed.select("id", F.col("s.win").alias("wins"), F.col("s.value").alias("vals"), F.col("s.end_pos").cast("array<bigint>").alias("spots"))
 
 
 def local_maxima(series: DataFrame, threshold: float) -> DataFrame:
-    """(id, win): the peaks of each document's series, over Arrow batches of whole series."""
-    packed = series.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("win", "value"))).alias("s"))
-    packed = packed.select("id", F.col("s.win").alias("wins"), F.col("s.value").alias("vals"))
-
-    def run(batches):
-        for pdf in batches:
-            out = [
-                (i, wins[p])
-                for i, wins, vals in zip(pdf["id"], pdf["wins"], pdf["vals"])
-                for p in peaks(np.asarray(vals, dtype=float), threshold)
-            ]
-            yield pd.DataFrame(out, columns=["id", "win"])
-
-    kind = series.schema["id"].dataType.simpleString()
-    return packed.mapInPandas(run, f"id {kind}, win int")
-
-
-def split_span(start: int, stop: int, ends: np.ndarray, limit: int) -> list[int]:
-    """Cuts inside (start, stop) so that no part exceeds ``limit``; sentence ends are preferred."""
-    cuts = []
-    while stop - start > limit:
-        goal = start + limit
-        near = int(ends[np.argmin(np.abs(ends - goal))]) if len(ends) else goal
-        start = near if start < near < stop else goal
-        cuts.append(start)
-    return cuts
-
-
-def fit_boundaries(length: int, wanted: list[int], ends: np.ndarray, low: int, high: int, target: int) -> list[int]:
-    """Boundaries that respect the chunk sizes: long spans are cut, short ones run on."""
-    kept, last = [], 0
-    for pos in [*sorted(wanted), length]:
-        forced = split_span(last, pos, ends, high)
-        kept += forced
-        last = forced[-1] if forced else last
-        size = pos - last
-        if pos < length and size >= low and (size >= target or size > high * 0.8):
-            kept.append(pos)
-            last = pos
-    return kept
+    """(id, win): the peaks of each document's series."""
+    rows = packed_series(series.withColumn("end_pos", F.lit(0))).withColumn("p", F.explode(peaks(F.col("vals"), F.lit(threshold))))
+    return rows.select("id", F.get("wins", F.col("p")).alias("win"))
+
+
+NO_CUTS = "array<bigint>"
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, inside folds where common parts are not shared."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def forced_cuts(start: Column, stop: Column, ends: Column, high: int, hard: bool) -> Column:
+    """Cuts inside (start, stop) until no part exceeds ``high``: the sentence end nearest to the limit, or
+    the limit itself where none is inside; without ``hard`` the rest stays long."""
+    none = F.array().cast(NO_CUTS)
+    tries = F.when(stop - start > high, F.sequence(F.lit(1), F.size(ends) + F.ceil((stop - start) / high).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def state(at: Column, cuts: Column, done: Column) -> Column:
+        return F.struct(at.cast("bigint").alias("at"), cuts.cast(NO_CUTS).alias("cuts"), done.alias("done"))
+
+    def step(s: Column, _: Column) -> Column:
+        goal = s["at"] + high
+        near = F.array_min(F.transform(ends, lambda e: F.struct(F.abs(e - goal).alias("d"), e.alias("e"))))["e"]
+
+        def cut(e: Column) -> Column:
+            inside = (e > s["at"]) & (e < stop)
+            other = state(goal, F.concat(s["cuts"], F.array(goal)), F.lit(False)) if hard else state(s["at"], s["cuts"], F.lit(True))
+            return F.when(inside, state(e, F.concat(s["cuts"], F.array(e)), F.lit(False))).otherwise(other)
+
+        return F.when(s["done"] | (stop - s["at"] <= high), s).otherwise(_once(F.coalesce(near, F.lit(-1).cast("bigint")), cut))
+
+    return F.aggregate(tries, state(start, none, F.lit(False)), step, lambda s: s["cuts"])
+
+
+def fitted_cuts(wanted: Column, ends: Column, length: Column, low: int, high: int, target: int) -> Column:
+    """Cuts that respect the chunk sizes, by one ordered fold over the wanted positions: long spans are
+    cut, short ones run on, a position counts from ``target`` on or close to ``high``."""
+    def state(last: Column, cuts: Column) -> Column:
+        return F.struct(last.cast("bigint").alias("last"), cuts.cast(NO_CUTS).alias("cuts"))
+
+    def step(s: Column, pos: Column) -> Column:
+        def placed(forced: Column) -> Column:
+            last = F.when(F.size(forced) > 0, F.get(forced, F.size(forced) - 1)).otherwise(s["last"])
+            size = pos - last
+            taken = (size >= low) & ((size >= target) | (size > high * 0.8))
+            cuts = F.concat(s["cuts"], forced)
+            return F.when(taken, state(pos, F.concat(cuts, F.array(pos)))).otherwise(state(last, cuts))
+
+        return _once(forced_cuts(s["last"], pos, ends, high, True), placed)
+
+    start = state(F.lit(0), F.array().cast(NO_CUTS))
+    return F.aggregate(F.sort_array(wanted), start, step, lambda s: F.concat(s["cuts"], forced_cuts(s["last"], length, ends, high, True)))
+
+
+def spaced_cuts(wanted: Column, start: Column, low: int, stop: Column | None = None) -> Column:
+    """Wanted positions at least ``low`` after the last one taken, and before ``stop`` if given."""
+    def state(last: Column, cuts: Column) -> Column:
+        return F.struct(last.cast("bigint").alias("last"), cuts.cast(NO_CUTS).alias("cuts"))
+
+    def step(s: Column, pos: Column) -> Column:
+        taken = pos - s["last"] >= low
+        if stop is not None:
+            taken = taken & (stop - pos >= low)
+        return F.when(taken, state(pos, F.concat(s["cuts"], F.array(pos)))).otherwise(s)
+
+    return F.aggregate(F.sort_array(wanted), state(start, F.array().cast(NO_CUTS)), step, lambda s: s["cuts"])
+
+
+def few_sentence_cuts(ends: Column, length: Column, low: int, high: int, target: int) -> Column:
+    """Cuts of a text with too few sentences for windows: a sentence end closes a chunk of at least
+    ``target``; a rest under ``low`` joins the last chunk; a text up to ``high`` stays whole."""
+    cuts = spaced_cuts(ends, F.lit(0), target)
+
+    def joined(c: Column) -> Column:
+        rest = length - F.get(c, F.size(c) - 1)
+        return F.when((F.size(c) > 0) & (rest > 0) & (rest < low), F.slice(c, F.lit(1), F.size(c) - 1)).otherwise(c)
+
+    return F.when(length <= high, F.array().cast(NO_CUTS)).otherwise(_once(cuts, joined))
 
 
 def punctuation_edges(text: Column, low: int, high: int, target: int) -> Column:
@@ -286,9 +345,14 @@ def punctuation_edges(text: Column, low: int, high: int, target: int) -> Column:
     return F.aggregate(parts, state(F.lit(0), F.lit(0), F.lit(0), F.array(F.lit(0))), step, finish)
 
 
-def _spans(boundaries: list[int], length: int) -> list[tuple[int, int]]:
-    edges = [0, *boundaries, length]
-    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+def _segments(rows: DataFrame, cuts: Column) -> DataFrame:
+    """(id, seg_no, start, end) from (id, length) and the cuts of each text."""
+    inside = F.filter(F.array_distinct(cuts), lambda c: (c > 0) & (c < F.col("length")))
+    edges = F.concat(F.array(F.lit(0).cast("bigint")), F.sort_array(inside), F.array(F.col("length").cast("bigint")))
+    rows = rows.select("id", edges.alias("edges"))
+    spans = F.transform(F.sequence(F.lit(1), F.size("edges") - 1), lambda i: F.struct(F.element_at("edges", i).alias("a"), F.element_at("edges", i + 1).alias("b")))
+    rows = rows.select("id", F.posexplode(spans).alias("p", "span"))
+    return rows.select("id", (F.col("p") + 1).alias("seg_no"), F.col("span.a").cast("int").alias("start"), F.col("span.b").cast("int").alias("end"))
 
 
 def segment_by_punctuation(
@@ -303,53 +367,119 @@ def segment_by_punctuation(
     return rows.select("id", (F.col("p") + 1).alias("seg_no"), F.col("span.a").alias("start"), F.col("span.b").alias("end"))
 
 
+def _measured(docs: DataFrame, sents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, length, ends) of texts that are not blank: code points and the ends of their sentences."""
+    ends = sents.groupBy("id").agg(F.sort_array(F.collect_list(F.col("end").cast("bigint"))).alias("ends"))
+    sized = docs.where(tx.trim_blanks(F.col(text)) != "").select(F.col(doc_id).alias("id"), F.char_length(text).cast("bigint").alias("length"))
+    return sized.join(ends, "id")
+
+
+def _at_peaks(threshold: Column) -> Column:
+    """Positions in the text of the peaks of a packed series."""
+    found = F.transform(peaks(F.col("vals"), threshold), lambda p: F.get("spots", p))
+    return F.coalesce(F.filter(found, lambda x: x > 0), F.array().cast(NO_CUTS))
+
+
 def segment_by_series(
-    docs: DataFrame, series: DataFrame, threshold: DataFrame | float, doc_id="doc_id", text="text", low=MIN_SIZE, high=MAX_SIZE, target=TARGET_SIZE
+    docs: DataFrame, sents: DataFrame, series: DataFrame, threshold: float, window: int, doc_id="doc_id", text="text", low=MIN_SIZE, high=MAX_SIZE, target=TARGET_SIZE
 ) -> DataFrame:
-    """(id, seg_no, start, end): cuts at the peaks of a (id, win, value, end_pos) series."""
-    packed = series.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("win", "value", "end_pos"))).alias("s"))
-    limits = threshold if isinstance(threshold, DataFrame) else None
-    rows = docs.where(tx.trim_blanks(F.col(text)) != "").select(
-        F.col(doc_id).alias("id"), F.transform(pieces(F.col(text)), F.char_length).alias("lens")
+    """(id, seg_no, start, end): cuts at the peaks of a (id, win, value, end_pos) series, fitted in size.
+
+    Texts up to ``low`` stay whole, those with no more than ``window`` sentences are cut by size.
+    """
+    rows = settle(_measured(docs, sents, doc_id, text).join(packed_series(series), "id", "left"))
+    length, ends = F.col("length"), F.col("ends")
+    cuts = (
+        F.when(length <= low, F.array().cast(NO_CUTS))
+        .when(F.size(ends) <= window, few_sentence_cuts(ends, length, low, high, target))
+        .otherwise(fitted_cuts(_at_peaks(F.lit(threshold)), ends, length, low, high, target))
     )
-    rows = rows.join(packed, "id", "left")
-    rows = rows.join(limits, "id", "left") if limits is not None else rows.withColumn("threshold", F.lit(threshold))
-    rows = rows.select("id", "lens", F.col("s.value").alias("vals"), F.col("s.end_pos").alias("spots"), "threshold")
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for i, lens, vals, spots, t in zip(pdf["id"], pdf["lens"], pdf["vals"], pdf["spots"], pdf["threshold"]):
-                ends = np.cumsum(lens)
-                length = int(ends[-1])
-                wanted = [int(spots[p]) for p in peaks(np.asarray(vals, dtype=float), t)] if vals is not None else []
-                cuts = fit_boundaries(length, [w for w in wanted if 0 < w < length], ends, low, high, target)
-                out += [(i, no + 1, a, b) for no, (a, b) in enumerate(_spans(cuts, length))]
-            yield pd.DataFrame(out, columns=["id", "seg_no", "start", "end"])
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, seg_no int, start int, end int")
-
-
-def segment_by_tfidf(docs: DataFrame, threshold: float = TFIDF_THRESHOLD, window: int = WINDOW) -> DataFrame:
-    series = adjacent_tfidf_distance(sentence_windows(sentences(docs), window))
+    return _segments(rows, cuts)
+
+
+def refined_cuts(rows: DataFrame, sents: DataFrame, window: int, floor: float, low: int, high: int) -> DataFrame:
+    """(id, cuts): the cuts of (id, length, ends, cuts) and those inside chunks beyond ``high``.
+
+    The sentences of such a chunk are a corpus of their own: windows of half the size, and peaks from its
+    median value on, or ``floor``. Cuts keep ``low`` on both sides; what is still too long is cut at
+    sentence ends. All chunks of all texts are refined together.
+    """
+    edges = F.concat(F.array(F.lit(0).cast("bigint")), "cuts", F.array("length"))
+    spans = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.struct(F.element_at(edges, i).alias("a"), F.element_at(edges, i + 1).alias("b")))
+    chunks = rows.select("id", "ends", F.explode(spans).alias("c")).select("id", "ends", "c.a", "c.b").where(F.col("b") - F.col("a") > high)
+    chunks = settle(chunks)
+    inside = sents.join(chunks.select("id", "a", "b"), "id").where("start >= a AND end <= b")
+    part = F.struct("id", "a").alias("id")
+    numbered = inside.select(part, F.row_number().over(W.partitionBy("id", "a").orderBy("sent_no")).alias("sent_no"), "text", "start", "end")
+    half = max(window // 2, 1)
+    enough = numbered.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > half).select("id")
+    series = packed_series(adjacent_tfidf_distance(sentence_windows(numbered.join(enough, "id", "left_semi"), half)))
+    middle = F.get(F.sort_array("vals", asc=False), F.floor(F.size("vals") / 2).cast("int"))
+    keyed = chunks.join(series.select("id.id", "id.a", "vals", "spots"), ["id", "a"], "left")
+    wanted = F.filter(_at_peaks(F.greatest(middle, F.lit(floor))), lambda p: (p > F.col("a")) & (p < F.col("b")))
+    found = settle(keyed.select("id", "ends", "a", "b", spaced_cuts(wanted, F.col("a"), low, F.col("b")).alias("own")))
+    last = F.coalesce(F.get("own", F.size("own") - 1), F.col("a"))
+    more = found.select("id", F.concat("own", forced_cuts(last, F.col("b"), F.col("ends"), high, False)).alias("more"))
+    added = more.groupBy("id").agg(F.flatten(F.collect_list("more")).alias("more"))
+    every = F.sort_array(F.concat("cuts", F.coalesce("more", F.array().cast(NO_CUTS))))
+    return rows.join(added, "id", "left").select("id", "length", every.alias("cuts"))
+
+
+def segment_refined(
+    docs: DataFrame, sents: DataFrame, series: DataFrame, share: float, floor: float, window: int, doc_id="doc_id", text="text", low=MIN_SIZE, high=MAX_SIZE, target=TARGET_SIZE
+) -> DataFrame:
+    """(id, seg_no, start, end): cuts at peaks over each text's own threshold, then refined chunks."""
+    limits = adaptive_threshold(series, "value", "id", share, floor)
+    rows = _measured(docs, sents, doc_id, text).join(packed_series(series), "id", "left").join(limits, "id", "left")
+    length, ends, none = F.col("length"), F.col("ends"), F.array().cast(NO_CUTS)
+    windowed = (length > low) & (F.size(ends) > window)
+    cuts = F.when(windowed, spaced_cuts(_at_peaks(F.col("threshold")), F.lit(0), low)).otherwise(none)
+    rows = settle(rows.select("id", "length", "ends", cuts.alias("cuts"), windowed.alias("windowed")))
+    few = F.when(length <= low, none).otherwise(few_sentence_cuts(ends, length, low, high, target))
+    fine = refined_cuts(rows.where("windowed").drop("windowed"), sents, window, floor, low, high)
+    return _segments(rows.where("NOT windowed"), few).unionByName(_segments(fine, F.col("cuts")))
+
+
+def segment_by_divergence(docs: DataFrame, threshold: float = DIVERGENCE_THRESHOLD, window: int = WINDOW, **sizes: int) -> DataFrame:
+    """Cuts where the divergence of neighbouring windows peaks over a fixed threshold."""
+    sents = settle(sentences(docs))
+    return segment_by_series(docs, sents, adjacent_tfidf_distance(sentence_windows(sents, window)), threshold, window, **sizes)
+
+
+def segment_by_tfidf(docs: DataFrame, threshold: float = TFIDF_THRESHOLD, window: int = WINDOW, **sizes: int) -> DataFrame:
+    """The same over robustly scaled divergence."""
+    sents = settle(sentences(docs))
+    series = adjacent_tfidf_distance(sentence_windows(sents, window))
     scaled = robust_scaled(series, "value", "id").select("id", "win", F.col("scaled").alias("value"), "end_pos")
-    return segment_by_series(docs, scaled, threshold)
+    return segment_by_series(docs, sents, scaled, threshold, window, **sizes)
 
 
-def segment_adaptive(docs: DataFrame, share: float = 0.2, floor: float = 0.3, window: int = WINDOW) -> DataFrame:
+def segment_adaptive(docs: DataFrame, share: float = ADAPTIVE_SHARE, floor: float = ADAPTIVE_FLOOR, window: int = WINDOW, **sizes: int) -> DataFrame:
     """Window divergence with a threshold taken from each document's own values."""
-    series = adjacent_tfidf_distance(sentence_windows(sentences(docs), window))
-    return segment_by_series(docs, series, adaptive_threshold(series, "value", "id", share, floor))
+    sents = settle(sentences(docs))
+    return segment_refined(docs, sents, adjacent_tfidf_distance(sentence_windows(sents, window)), share, floor, window, **sizes)
 
 
-def segment_hybrid(docs: DataFrame, share: float = 0.2, floor: float = 0.3, window: int = WINDOW) -> DataFrame:
+def segment_hybrid(docs: DataFrame, share: float = ADAPTIVE_SHARE, floor: float = ADAPTIVE_FLOOR, window: int = WINDOW, **sizes: int) -> DataFrame:
     """TF-IDF and compression divergence fused by rank, then as in segment_adaptive."""
-    wins = sentence_windows(sentences(docs), window)
+    sents = settle(sentences(docs))
+    wins = sentence_windows(sents, window)
     ncd = adjacent_compression_distance(wins).select("id", "win", F.col("value").alias("ncd"))
     both = adjacent_tfidf_distance(wins).withColumnRenamed("value", "tfidf").join(ncd, ["id", "win"])
     fused = rank_fusion(both, ["tfidf", "ncd"], "id", "win").select("id", "win", F.col("fused").alias("value"), "end_pos")
-    return segment_by_series(docs, fused, adaptive_threshold(fused, "value", "id", share, floor))
+    return segment_refined(docs, sents, fused, share, floor, window, **sizes)
+
+
+#: Strategies by name: docs (doc_id, text) to (id, seg_no, start, end).
+STRATEGIES: dict[str, Callable[..., DataFrame]] = {
+    "punctuation": segment_by_punctuation, "divergence": segment_by_divergence, "tfidf": segment_by_tfidf,
+    "adaptive": segment_adaptive, "hybrid": segment_hybrid,
+}
+
+
+def segment(docs: DataFrame, strategy: str, **settings) -> DataFrame:
+    """Segments by the named strategy."""
+    return STRATEGIES[strategy](docs, **settings)
 
 
 def segment_texts(segments: DataFrame, docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:

@@ -152,19 +152,24 @@ def punctuation_segments(spark, sf):
     return sg.segment_by_punctuation(_docs(spark, sf))
 
 
+@register("divergence_segments", "T5 T6 U3")
+def divergence_segments(spark, sf):
+    return sg.segment(_docs(spark, sf), "divergence")
+
+
 @register("tfidf_segments", "T4 T6 U3")
 def tfidf_segments(spark, sf):
-    return sg.segment_by_tfidf(_docs(spark, sf))
+    return sg.segment(_docs(spark, sf), "tfidf")
 
 
 @register("adaptive_segments", "T5 T6 U3")
 def adaptive_segments(spark, sf):
-    return sg.segment_adaptive(_docs(spark, sf))
+    return sg.segment(_docs(spark, sf), "adaptive")
 
 
 @register("hybrid_segments", "T5 T6 U3 W6")
 def hybrid_segments(spark, sf):
-    return sg.segment_hybrid(_docs(spark, sf))
+    return sg.segment(_docs(spark, sf), "hybrid")
 
 
 @register("segment_texts", "T10 S8")
