@@ -24,9 +24,11 @@ def stale_units(manifest: DataFrame, current: DataFrame) -> DataFrame:
     return changed.select("id", F.when(F.col("change") == "deleted", "deleted").otherwise("stale").alias("state"))
 
 
-def page_actions(changes: DataFrame) -> DataFrame:
-    """Per page the number of changes by type and what to do about them."""
-    counts = changes.where("change <> 'unchanged'").groupBy("page").agg(
+def page_actions(changes: DataFrame, known: DataFrame) -> DataFrame:
+    """Per page the number of changes by type and what to do about them; pages that ``known`` (page)
+    lacks are seen for the first time and have nothing to be changed yet."""
+    seen = changes.where("change <> 'unchanged'").join(known.select("page").distinct(), "page", "left_semi")
+    counts = seen.groupBy("page").agg(
         *[F.count_if(F.col("change") == c).alias(c) for c in ("modified", "added", "deleted")]
     )
     return counts.withColumn("action", F.when(F.col("deleted") > 0, "review").otherwise("update"))

@@ -283,8 +283,8 @@ def act_drift_actions(spark, sf):
 
 # Snapshots: before = ids not ending in 9; after = ids not ending in 0, those ending in 5 edited.
 SNAP_SQL = """
- old AS (SELECT doc_id AS id, source AS page, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 9),
- new AS (SELECT doc_id AS id, source AS page, sha256(CASE WHEN doc_id % 10 = 5 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 0),
+ old AS (SELECT doc_id AS id, source || '/' || doc_id % 10 AS page, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 9),
+ new AS (SELECT doc_id AS id, source || '/' || doc_id % 10 AS page, sha256(CASE WHEN doc_id % 10 = 5 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 0),
  ch AS (SELECT coalesce(old.id, new.id) AS id, coalesce(old.page, new.page) AS page, CASE WHEN old.id IS NULL THEN 'added' WHEN new.id IS NULL THEN 'deleted' WHEN old.h = new.h THEN 'unchanged' ELSE 'modified' END AS change
    FROM old FULL JOIN new ON old.id = new.id)"""
 
@@ -292,8 +292,9 @@ SNAP_SQL = """
 def snapshots(spark, sf):
     docs = table_fn(spark, sf)("documents")
     edited = F.when(F.col("doc_id") % 10 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    old = docs.where("doc_id % 10 <> 9").select(F.col("doc_id").alias("id"), F.col("source").alias("page"), F.sha2("text", 256).alias("h"))
-    new = docs.where("doc_id % 10 <> 0").select(F.col("doc_id").alias("id"), F.col("source").alias("page"), F.sha2(edited, 256).alias("h"))
+    page = F.concat("source", F.lit("/"), F.col("doc_id") % 10)
+    old = docs.where("doc_id % 10 <> 9").select(F.col("doc_id").alias("id"), page.alias("page"), F.sha2("text", 256).alias("h"))
+    new = docs.where("doc_id % 10 <> 0").select(F.col("doc_id").alias("id"), page.alias("page"), F.sha2(edited, 256).alias("h"))
     return old, new
 
 
@@ -315,12 +316,13 @@ def stale_and_deleted_units(spark, sf):
     "page_source_changes",
     "E13 D31",
     f"""WITH {SNAP_SQL} SELECT page, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'deleted') AS deleted,
- CASE WHEN count(*) FILTER (change = 'deleted') > 0 THEN 'review' ELSE 'update' END AS action FROM ch WHERE change <> 'unchanged' GROUP BY page""",
+ CASE WHEN count(*) FILTER (change = 'deleted') > 0 THEN 'review' ELSE 'update' END AS action FROM ch WHERE change <> 'unchanged' AND page IN (SELECT page FROM old) GROUP BY page""",
 )
 def page_source_changes(spark, sf):
     from lexiloom.operators import changes as ch
 
-    return ch.page_actions(ch.classify(*snapshots(spark, sf)))
+    old, new = snapshots(spark, sf)
+    return ch.page_actions(ch.classify(old, new), old.select("page"))
 
 
 @register(
@@ -395,17 +397,19 @@ def source_fingerprint(spark, sf):
     "cross_reference_gaps",
     "J35",
     """WITH lk AS (SELECT DISTINCT page_id AS page, unnest(regexp_extract_all(html, 'href="([^"#]+)', 1)) AS source FROM pages),
- h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages),
+ sl AS (SELECT lower(regexp_extract(html, '<title>([A-Za-z]+)', 1)) AS slug, min(page_id) AS page FROM pages GROUP BY ALL),
+ pl AS (SELECT DISTINCT lk.page, sl.page AS target FROM lk JOIN sl ON slug <> '' AND slug = lower(regexp_extract(source, '^/([A-Za-z]+)', 1))),
  p AS (SELECT a.page AS id1, b.page AS id2, count(*) AS shared FROM lk a JOIN lk b ON a.source = b.source AND a.page < b.page GROUP BY ALL)
- SELECT id1, id2, shared FROM p JOIN h x ON x.page_id = id1 JOIN h y ON y.page_id = id2 WHERE x.host <> y.host""",
+ SELECT id1, id2, shared FROM p WHERE NOT EXISTS (SELECT 1 FROM pl WHERE (pl.page = id1 AND pl.target = id2) OR (pl.page = id2 AND pl.target = id1))""",
 )
 def cross_reference_gaps(spark, sf):
+    """A link names a page by the first word of its title; of several such pages the first is meant."""
     from lexiloom.operators import lint
     from lexiloom.plans.graphs import page_links
 
-    sources = page_links(spark, sf).withColumnRenamed("target", "source")
-    hosts = table_fn(spark, sf)("pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
-    met = lint.missing_cross_references(sources, spark.createDataFrame([], "page bigint, target bigint"), 20000)
-    # Pages of one host count as linked to each other.
-    a, b = hosts.toDF("id1", "h1"), hosts.toDF("id2", "h2")
-    return met.join(a, "id1").join(b, "id2").where("h1 <> h2").select("id1", "id2", "shared")
+    links = settle(page_links(spark, sf))
+    slug = F.lower(F.regexp_extract("html", "<title>([A-Za-z]+)", 1))
+    pages = table_fn(spark, sf)("pages").groupBy(slug.alias("slug")).agg(F.min("page_id").alias("named")).where("slug <> ''")
+    meant = F.lower(F.regexp_extract("target", "^/([A-Za-z]+)", 1))
+    resolved = links.withColumn("slug", meant).join(pages, "slug").select("page", F.col("named").alias("target"))
+    return lint.missing_cross_references(links.withColumnRenamed("target", "source"), resolved, 20000)

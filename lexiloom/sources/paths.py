@@ -36,6 +36,15 @@ def glob_regex(pattern: str) -> str:
     return "".join(out) + "$"
 
 
+def glob_expression(pattern: Column) -> Column:
+    """The regular expression, without anchors, of a glob that is itself a column."""
+    quoted = F.regexp_replace(pattern, r"([.^$+(){}|\\])", r"\\$1")
+    marked = F.replace(F.replace(quoted, F.lit("**/"), F.lit("\x01")), F.lit("**"), F.lit("\x02"))
+    single = F.replace(F.replace(marked, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))
+    whole = F.replace(F.replace(single, F.lit("\x01"), F.lit("(?:.*/)?")), F.lit("\x02"), F.lit(".*"))
+    return F.replace(whole, F.lit("[!"), F.lit("[^"))
+
+
 def glob_match(path: Column, pattern: str) -> Column:
     return path.rlike(glob_regex(pattern))
 
