@@ -160,9 +160,9 @@ def pattern_matches(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("id", F.explode(tx.matches(stream, pattern_regex(pattern))).alias("hit"))
 
 
-def owner_weights(tokens: DataFrame, terms: DataFrame, n_owners: Column) -> DataFrame:
-    """(term, weight): rarity of task terms over owners. ``tokens``: (owner, term) distinct."""
-    counts = tokens.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def owner_weights(present: DataFrame, n_owners: Column) -> DataFrame:
+    """(term, weight): rarity of terms over owners. ``present``: (owner, term) distinct."""
+    counts = present.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return counts.select("term", lx.smoothed_idf(F.col("df"), n_owners).alias("weight"))
 
 
@@ -170,25 +170,25 @@ def owner_weights(tokens: DataFrame, terms: DataFrame, n_owners: Column) -> Data
 FOCUS_WINDOW, FOCUS_STRIDE = 80, 24
 
 
-def focus_scores(streams: DataFrame, weights: DataFrame, total: Column) -> DataFrame:
-    """(owner, focus): best share of task-term weight inside a hopping token window.
+def focus_scores(streams: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(qid, owner, focus): best share of a task's weight inside a hopping token window.
 
-    ``streams``: (owner, pos from 0, term). Only task terms are spread over their windows.
+    ``streams``: (owner, pos from 0, term); ``tasks``: (qid, term, weight, total). Windows are laid over the
+    streams once, for all tasks; they meet the tasks on terms.
     """
-    hits = streams.join(weights, "term")
     first = F.greatest(F.ceil((F.col("pos") - (FOCUS_WINDOW - 1)) / FOCUS_STRIDE), F.lit(0))
     last = F.floor(F.col("pos") / FOCUS_STRIDE)
-    spread = hits.where(first <= last).select("owner", "term", "weight", F.explode(F.sequence(first, last)).alias("win"))
-    per_window = spread.dropDuplicates(["owner", "win", "term"]).groupBy("owner", "win").agg(F.sum("weight").alias("got"))
-    return per_window.groupBy("owner").agg((F.max("got") / total).alias("focus"))
+    spread = streams.where(first <= last).select("owner", "term", F.explode(F.sequence(first, last)).alias("win")).distinct()
+    per_window = spread.join(tasks, "term").groupBy("qid", "owner", "win").agg(F.sum(F.col("weight") / F.col("total")).alias("got"))
+    return per_window.groupBy("qid", "owner").agg(F.max("got").alias("focus"))
 
 
 def term_ranking(presence: DataFrame) -> DataFrame:
-    """Task terms by rarity among owners, without terms that mostly consumers use.
+    """(qid, term, owner_docs, consumer_docs): task terms without those that mostly consumers use.
 
-    ``presence``: (term, item, consumer) distinct.
+    ``presence``: (qid, term, item, consumer) distinct.
     """
-    counts = presence.groupBy("term").agg(
+    counts = presence.groupBy("qid", "term").agg(
         F.count_if(~F.col("consumer")).alias("owner_docs"), F.count_if(F.col("consumer")).alias("consumer_docs")
     )
     dominated = (F.col("consumer_docs") >= 3) & (F.col("consumer_docs") > F.col("owner_docs"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from lexiloom.functions import text as tx
-from lexiloom.operators import lexical as lx, search as se
+from lexiloom.operators import lexical as lx, pairwise as pw, search as se
 from lexiloom.plans import sqlparts as sp
 from lexiloom.plans.registry import register, table_fn
 from lexiloom.session import settle
@@ -227,13 +227,14 @@ def token_pattern_hits(spark, sf):
     return se.pattern_matches(docs, "Num Word")
 
 
-TASK = "(SELECT text FROM benchmark WHERE item_id = 0)"
+# Every benchmark item is a task; the ranking of owners is cut to a page of results per task.
+TASK_HITS = 20
 
 
-def _task_terms(spark, sf):
-    """Task: the first benchmark item."""
-    task = table_fn(spark, sf)("benchmark").where("item_id = 0").select("text")
-    return task, task.select(F.explode(tx.task_tokens(F.col("text"))).alias("term"))
+def _tasks(spark, sf):
+    """(qid, term), distinct."""
+    items = table_fn(spark, sf)("benchmark")
+    return settle(items.select(F.col("item_id").alias("qid"), F.explode(tx.task_tokens(F.col("text"))).alias("term")).distinct())
 
 
 CANON = "CASE WHEN length(t) > 5 AND regexp_matches(t, 'ies$') THEN regexp_replace(t, 'ies$', 'y') WHEN length(t) > 5 AND regexp_matches(t, '(sses|ches|shes|xes|zes)$') THEN regexp_replace(t, 'es$', '') WHEN length(t) > 4 AND regexp_matches(t, '[^s]s$') THEN regexp_replace(t, 's$', '') ELSE t END"
@@ -253,93 +254,110 @@ def task_tokens(spark, sf):
     return turns.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.explode(tx.task_tokens(F.col("text"))).alias("term"))
 
 
-TASK_SQL = f"""{task_stream_sql('documents', 'doc_id')}, {task_stream_sql('(SELECT item_id, text FROM benchmark WHERE item_id = 0)', 'item_id').replace('s1 ', 'q1 ').replace('s1)', 'q1)').replace('FROM s1', 'FROM q1').replace('s2', 'q2').replace('s3', 'q3').replace(' st AS', ' qst AS')},
- tt AS (SELECT DISTINCT term FROM qst), nt AS (SELECT count(*) AS nt FROM tt), no AS (SELECT count(*) AS n FROM documents),
- pres AS (SELECT DISTINCT k, term FROM st JOIN tt USING (term)),
- ow AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1 AS weight FROM pres, no GROUP BY term, n), tot AS (SELECT sum(weight) AS total FROM ow)"""
+TASK_SQL = f"""{task_stream_sql('documents', 'doc_id')}, {task_stream_sql('benchmark', 'item_id').replace('s1 ', 'q1 ').replace('s1)', 'q1)').replace('FROM s1', 'FROM q1').replace('s2', 'q2').replace('s3', 'q3').replace(' st AS', ' qst AS')},
+ tt AS (SELECT DISTINCT k AS qid, term FROM qst), nt AS (SELECT qid, count(*) AS nt FROM tt GROUP BY qid), no AS (SELECT count(*) AS n FROM documents),
+ pres AS (SELECT DISTINCT k, term FROM st WHERE term IN (SELECT term FROM tt)),
+ ow AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1 AS weight FROM pres, no GROUP BY term, n), tot AS (SELECT qid, sum(weight) AS total FROM tt JOIN ow USING (term) GROUP BY qid)"""
+RANK_SQL = f"SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sx) WHERE rank <= {TASK_HITS}"
 
 
-def _streams(spark, sf):
+def _streams(spark, sf, tasks):
+    """(owner, pos, term) of the documents' tokens that some task has."""
     docs = table_fn(spark, sf)("documents")
-    return docs.select(F.col("doc_id").alias("owner"), F.posexplode(tx.task_token_stream(F.col("text"))).alias("pos", "term"))
+    streams = docs.select(F.col("doc_id").alias("owner"), F.posexplode(tx.task_token_stream(F.col("text"))).alias("pos", "term"))
+    return settle(streams.join(tasks.select("term").distinct(), "term", "left_semi"))
+
+
+def _weighted(spark, sf, tasks, present):
+    """(qid, term, weight, total) of the task terms that some document has."""
+    weights = se.owner_weights(present, lx.corpus_size(table_fn(spark, sf)("documents")))
+    rows = tasks.join(weights, "term")
+    return settle(rows.join(rows.groupBy("qid").agg(F.sum("weight").alias("total")), "qid"))
 
 
 BM25_TASK = f"""
- b1 AS (SELECT unnest({sp.words('text')}) AS term FROM benchmark WHERE item_id = 0), b2 AS (SELECT term, count(*) AS na FROM b1 GROUP BY term), bl AS (SELECT sum(na)::DOUBLE AS la FROM b2),
+ b1 AS (SELECT item_id AS qid, unnest({sp.words('text')}) AS term FROM benchmark), b2 AS (SELECT qid, term, count(*) AS na FROM b1 GROUP BY ALL), bl AS (SELECT qid, sum(na)::DOUBLE AS la FROM b2 GROUP BY qid),
  d1 AS (SELECT doc_id AS k, unnest({sp.words('text')}) AS term FROM documents), d2 AS (SELECT k, term, count(*) AS nb FROM d1 GROUP BY ALL), dl AS (SELECT k, sum(nb)::DOUBLE AS lb FROM d2 GROUP BY k),
- keys AS (SELECT k, term, na FROM dl, b2), jj AS (SELECT coalesce(keys.k, d2.k) AS k, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM keys FULL JOIN d2 ON keys.k = d2.k AND keys.term = d2.term),
- jw AS (SELECT k, CASE WHEN na > 0 AND nb > 0 THEN 1 ELSE ln(1.5) + 1 END AS idf, na, nb, la, lb, (la + lb) / 2 AS av FROM jj JOIN dl USING (k), bl),
- jx AS (SELECT k, idf * na * 2.2 / (na + 1.2 * (0.25 + 0.75 * la / av)) AS wa, idf * nb * 2.2 / (nb + 1.2 * (0.25 + 0.75 * lb / av)) AS wb FROM jw),
- bm AS (SELECT k, least(sum(wa * wb) / sqrt(sum(wa * wa) * sum(wb * wb)), 1.0) AS sim FROM jx GROUP BY k)"""
+ jj AS (SELECT coalesce(x.qid, y.qid) AS qid, coalesce(x.k, y.k) AS k, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM (SELECT qid, k, term, na FROM b2, dl) x FULL JOIN (SELECT qid, k, term, nb FROM d2, bl) y ON x.qid = y.qid AND x.k = y.k AND x.term = y.term),
+ jw AS (SELECT qid, k, CASE WHEN na > 0 AND nb > 0 THEN 1 ELSE ln(1.5) + 1 END AS idf, na, nb, la, lb, (la + lb) / 2 AS av FROM jj JOIN dl USING (k) JOIN bl USING (qid)),
+ jx AS (SELECT qid, k, idf * na * 2.2 / (na + 1.2 * (0.25 + 0.75 * la / av)) AS wa, idf * nb * 2.2 / (nb + 1.2 * (0.25 + 0.75 * lb / av)) AS wb FROM jw),
+ bm AS (SELECT qid, k, least(sum(wa * wb) / sqrt(sum(wa * wa) * sum(wb * wb)), 1.0) AS sim FROM jx GROUP BY ALL HAVING sum(wa * wb) > 0)"""
 
 
 def _task_similarity(spark, sf):
-    from lexiloom.operators import pairwise as pw
+    """(qid, owner, sim) of tasks and documents that share a word; both sides are counted once."""
+    t = table_fn(spark, sf)
+    items = lx.term_counts(t("benchmark").select(F.col("item_id").alias("lid"), tx.word_tokens(F.col("text")).alias("toks")), F.col("toks"), "lid")
+    docs = lx.term_counts(t("documents").select(F.col("doc_id").alias("rid"), tx.word_tokens(F.col("text")).alias("toks")), F.col("toks"), "rid")
+    found = pw.cross_similarity(settle(items.withColumnRenamed("n", "na")), settle(docs.withColumnRenamed("n", "nb")))
+    return found.select(F.col("lid").alias("qid"), F.col("rid").alias("owner"), "sim")
 
-    task, _ = _task_terms(spark, sf)
-    docs = table_fn(spark, sf)("documents").select(F.col("doc_id").alias("owner"), "text").withColumn("task", task.scalar())
-    return pw.bm25_similarity(docs, "owner", "task", "text")
+
+def _page(scored):
+    """The best owners of each task."""
+    rows = scored.select("qid", F.col("owner").alias("id"), F.round("score", 6).alias("score"))
+    return se.best_per_group(rows, ["qid"], TASK_HITS)
 
 
 @register(
     "task_relevance",
     "K11",
-    f"WITH {TASK_SQL}, {BM25_TASK}, ov AS (SELECT k, count(*) AS c FROM pres GROUP BY k) SELECT bm.k AS id, round(least(coalesce(c, 0) / nt::DOUBLE + 0.1 * sim, 1.0), 6) AS score FROM bm LEFT JOIN ov USING (k), nt",
+    f"""WITH {TASK_SQL}, {BM25_TASK}, ov AS (SELECT qid, k, count(*) AS c FROM pres JOIN tt USING (term) GROUP BY ALL),
+ sx AS (SELECT coalesce(bm.qid, ov.qid) AS qid, coalesce(bm.k, ov.k) AS id, round(least(coalesce(c, 0) / nt::DOUBLE + 0.1 * coalesce(sim, 0), 1.0), 6) AS score FROM bm FULL JOIN ov ON ov.qid = bm.qid AND ov.k = bm.k JOIN nt ON nt.qid = coalesce(bm.qid, ov.qid)) {RANK_SQL}""",
 )
 def task_relevance(spark, sf):
-    _, terms = _task_terms(spark, sf)
-    n_terms = terms.agg(F.count(F.lit(1))).scalar()
-    overlap = _streams(spark, sf).join(terms, "term").select("owner", "term").distinct().groupBy("owner").agg(F.count(F.lit(1)).alias("c"))
-    every = _task_similarity(spark, sf).join(overlap, "owner", "left")
-    score = F.least(F.coalesce("c", F.lit(0)) / n_terms + 0.1 * F.col("sim"), F.lit(1.0))
-    words = table_fn(spark, sf)("documents").where(F.size(tx.word_tokens(F.col("text"))) > 0).select(F.col("doc_id").alias("owner"))
-    return every.join(words, "owner", "left_semi").select(F.col("owner").alias("id"), F.round(score, 6).alias("score"))
+    tasks = _tasks(spark, sf)
+    sizes = tasks.groupBy("qid").agg(F.count(F.lit(1)).alias("nt"))
+    present = _streams(spark, sf, tasks).select("owner", "term").distinct()
+    overlap = present.join(tasks, "term").groupBy("qid", "owner").agg(F.count(F.lit(1)).alias("c"))
+    both = _task_similarity(spark, sf).join(overlap, ["qid", "owner"], "full_outer").join(sizes, "qid")
+    score = F.least(F.coalesce("c", F.lit(0)) / F.col("nt") + 0.1 * F.coalesce("sim", F.lit(0.0)), F.lit(1.0))
+    return _page(both.withColumn("score", score))
 
 
 FOCUS_SQL = """
- wn AS (SELECT DISTINCT k, st.term, weight, win FROM st JOIN ow USING (term), (SELECT unnest(range(4000)) AS win) WHERE win * 24 <= pos AND pos < win * 24 + 80),
- fo AS (SELECT k, max(got) / total AS focus FROM (SELECT k, win, sum(weight) AS got FROM wn GROUP BY ALL), tot GROUP BY k, total)"""
+ wn AS (SELECT DISTINCT k, term, unnest(range(greatest(ceil((pos - 79) / 24.0), 0)::BIGINT, pos // 24 + 1)) AS win FROM st WHERE term IN (SELECT term FROM tt)),
+ fo AS (SELECT qid, k, max(got) AS focus FROM (SELECT qid, k, win, sum(weight / total) AS got FROM wn JOIN tt USING (term) JOIN ow USING (term) JOIN tot USING (qid) GROUP BY ALL) GROUP BY ALL)"""
 
 
-@register("focus_windows", "W8", f"WITH {TASK_SQL}, {FOCUS_SQL} SELECT k AS id, round(focus, 6) AS focus FROM fo")
+@register("focus_windows", "W8", f"WITH {TASK_SQL}, {FOCUS_SQL}, sx AS (SELECT qid, k AS id, round(focus, 6) AS score FROM fo) {RANK_SQL}")
 def focus_windows(spark, sf):
-    _, terms = _task_terms(spark, sf)
-    streams = _streams(spark, sf)
-    present = streams.select("owner", "term").distinct()
-    weights = se.owner_weights(present, terms, lx.corpus_size(table_fn(spark, sf)("documents")))
-    scored = se.focus_scores(streams, weights, weights.agg(F.sum("weight")).scalar())
-    return scored.select(F.col("owner").alias("id"), F.round("focus", 6).alias("focus"))
+    tasks = _tasks(spark, sf)
+    streams = _streams(spark, sf, tasks)
+    weighted = _weighted(spark, sf, tasks, streams.select("owner", "term").distinct())
+    return _page(se.focus_scores(streams, weighted).withColumnRenamed("focus", "score"))
 
 
 @register(
     "owner_relevance",
     "K12",
-    f"""WITH {TASK_SQL}, {FOCUS_SQL}, {BM25_TASK}, lx AS (SELECT k, sum(weight) / total AS lex FROM pres JOIN ow USING (term), tot GROUP BY k, total)
- SELECT k AS id, round(least(lex * 0.3 + focus * 0.35 + sim * 0.35, 1.0), 6) AS score FROM lx JOIN fo USING (k) JOIN bm USING (k)""",
+    f"""WITH {TASK_SQL}, {FOCUS_SQL}, {BM25_TASK}, lx AS (SELECT qid, k, sum(weight / total) AS lex FROM pres JOIN tt USING (term) JOIN ow USING (term) JOIN tot USING (qid) GROUP BY ALL),
+ sx AS (SELECT qid, k AS id, round(least(lex * 0.3 + focus * 0.35 + sim * 0.35, 1.0), 6) AS score FROM lx JOIN fo USING (qid, k) JOIN bm USING (qid, k)) {RANK_SQL}""",
 )
 def owner_relevance(spark, sf):
-    _, terms = _task_terms(spark, sf)
-    streams = _streams(spark, sf)
+    tasks = _tasks(spark, sf)
+    streams = _streams(spark, sf, tasks)
     present = streams.select("owner", "term").distinct()
-    weights = se.owner_weights(present, terms, lx.corpus_size(table_fn(spark, sf)("documents")))
-    total = weights.agg(F.sum("weight")).scalar()
-    lexical = present.join(weights, "term").groupBy("owner").agg((F.sum("weight") / total).alias("lex"))
-    both = lexical.join(se.focus_scores(streams, weights, total), "owner").join(_task_similarity(spark, sf), "owner")
-    score = F.least(F.col("lex") * 0.3 + F.col("focus") * 0.35 + F.col("sim") * 0.35, F.lit(1.0))
-    return both.select(F.col("owner").alias("id"), F.round(score, 6).alias("score"))
+    weighted = _weighted(spark, sf, tasks, present)
+    lexical = present.join(weighted, "term").groupBy("qid", "owner").agg(F.sum(F.col("weight") / F.col("total")).alias("lex"))
+    keys = ["qid", "owner"]
+    every = lexical.join(se.focus_scores(streams, weighted), keys).join(_task_similarity(spark, sf), keys)
+    return _page(every.withColumn("score", F.least(F.col("lex") * 0.3 + F.col("focus") * 0.35 + F.col("sim") * 0.35, F.lit(1.0))))
 
 
 @register(
     "task_term_ranking",
     "K13",
-    f"""WITH {TASK_SQL}, c AS (SELECT term, count(*) FILTER (lang = 'en') AS owner_docs, count(*) FILTER (lang <> 'en') AS consumer_docs FROM pres JOIN documents ON doc_id = k GROUP BY term)
- SELECT term, owner_docs, consumer_docs FROM c WHERE NOT (consumer_docs >= 3 AND consumer_docs > owner_docs)""",
+    f"""WITH {TASK_SQL}, c AS (SELECT qid, term, count(*) FILTER (lang = 'en') AS owner_docs, count(*) FILTER (lang <> 'en') AS consumer_docs FROM pres JOIN tt USING (term) JOIN documents ON doc_id = k GROUP BY ALL)
+ SELECT qid, term, owner_docs, consumer_docs FROM c WHERE NOT (consumer_docs >= 3 AND consumer_docs > owner_docs)""",
 )
 def task_term_ranking(spark, sf):
-    _, terms = _task_terms(spark, sf)
+    tasks = _tasks(spark, sf)
     kinds = table_fn(spark, sf)("documents").select(F.col("doc_id").alias("owner"), (F.col("lang") != "en").alias("consumer"))
-    present = _streams(spark, sf).join(terms, "term").select("owner", "term").distinct().join(kinds, "owner")
-    return se.term_ranking(present.withColumnRenamed("owner", "item")).orderBy("owner_docs", "consumer_docs", F.desc(F.char_length("term")), "term")
+    # Counted per term before the tasks are joined.
+    present = _streams(spark, sf, tasks).select("owner", "term").distinct().join(kinds, "owner")
+    ranked = se.term_ranking(present.select(F.lit(0).alias("qid"), "term", F.col("owner").alias("item"), "consumer")).drop("qid")
+    return tasks.join(ranked, "term").select("qid", "term", "owner_docs", "consumer_docs")
 
 
 @register(

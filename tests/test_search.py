@@ -58,3 +58,21 @@ def test_cascade_asks_the_next_provider_for_the_rest_only(spark):
     assert asked == [("first", [1, 2, 3]), ("second", [1, 3])]
     assert {(r["qid"], r["provider"]) for r in hits.collect()} == {(2, "first"), (3, "second")}
     assert {(r["provider"], r["indexed"], r["asked"], r["answered"], r["hits"]) for r in stats.collect()} == {("first", 5, 3, 1, 1), ("second", 5, 2, 1, 1)}
+
+
+def test_cross_similarity_equals_pairs_scored_one_by_one(spark):
+    from lexiloom.functions import text as tx
+    from lexiloom.operators import lexical as lx, pairwise as pw
+
+    rnd = random.Random(8)
+    say = lambda: " ".join(rnd.choice(["aa", "bb", "cc", "dd", "ee", "ff"]) for _ in range(rnd.randint(0, 9)))
+    left, right = [(i, say()) for i in range(6)], [(j, say()) for j in range(7)]
+    pairs = spark.createDataFrame([(i * 100 + j, a, b) for i, a in left for j, b in right], "key int, a string, b string")
+    want = {(r["key"] // 100, r["key"] % 100): round(r["sim"], 9) for r in pw.bm25_similarity(pairs, "key", "a", "b").collect() if r["sim"] and r["sim"] > 0}
+
+    def counts(rows, key, n):
+        df = spark.createDataFrame(rows, f"{key} int, text string")
+        return lx.term_counts(df.select(key, tx.word_tokens(F.col("text")).alias("toks")), F.col("toks"), key).withColumnRenamed("n", n)
+
+    got = pw.cross_similarity(counts(left, "lid", "na"), counts(right, "rid", "nb")).collect()
+    assert {(r["lid"], r["rid"]): round(r["sim"], 9) for r in got} == want
