@@ -26,8 +26,8 @@ from lexiloom.llm.fill_in_middle import byte_slices
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer that these vocabularies were made with.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces and pairs remembered by a worker.
-MEMO = 400_000
+#: Pieces and pairs remembered within a task.
+MEMO = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -212,6 +212,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 values = pa.array(np.concatenate(ids), pa.int32())
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
                 yield pa.record_batch([part["doc_id"], lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+        # Workers are used again by later stages, which need the memory.
+        codec.memo.clear()
+        codec.fits.clear()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, CODED)
 

@@ -123,10 +123,15 @@ def taken_words(docs: DataFrame) -> DataFrame:
 def repeated_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the mix takes, as often as it takes them.
 
-    Documents stay whole here: one that the truncation cuts stays if at least half of it is taken.
-    Rows that repeat a doc_id are taken as often as the most taken one of them.
+    Documents stay whole here: one that the truncation cuts stays if at least half of it is taken. Rows
+    that repeat doc_id and source are taken equally often, as often as the mix takes one of them on
+    average, rounded; so the mix keeps to its targets with them.
     """
-    items = mixed(queued(docs)).where("2 * words >= size")
-    times = items.groupBy("doc_id", "start").count().groupBy("doc_id").agg(F.max("count").cast("int").alias("times"))
-    picked = times.select(F.col("doc_id").alias("mixed_id"), F.explode(F.sequence(F.lit(1), "times")).alias("mixed_round"))
-    return docs.join(picked, F.col("doc_id").eqNullSafe(F.col("mixed_id"))).select(*(docs[c] for c in docs.columns))
+    items = mixed(queued(docs))
+    counts = items.groupBy("doc_id", "source").agg(F.count_if(F.expr("2 * words >= size")).alias("taken"), F.count_if(F.col("round") == 0).alias("rows"))
+    times = counts.select(
+        F.col("doc_id").alias("mixed_id"), F.col("source").alias("mixed_source"), F.round(F.col("taken") / F.col("rows")).cast("int").alias("times")
+    ).where("times > 0")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source")
+    met = rows.join(times, F.col("doc_id").eqNullSafe(F.col("mixed_id")) & F.col("source").eqNullSafe(F.col("mixed_source")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

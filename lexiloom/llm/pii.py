@@ -20,6 +20,8 @@ import random
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexiloom.llm.names import free_name
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_DOCS = 4000
 MAX_CANDIDATES = 6000
@@ -167,8 +169,8 @@ def _candidate(kind: str, strict: bool):
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with an array column ``pii_candidates``; a null text has none."""
-    return docs.withColumn("pii_candidates", F.concat(*_proposals(F.coalesce(F.col(text), F.lit("")))))
+    """``docs`` with a last array column ``pii_candidates``; a null text has none."""
+    return docs.select("*", F.concat(*_proposals(F.coalesce(F.col(text), F.lit("")))).alias(free_name(docs, "pii_candidates")))
 
 
 # --- boosted trees ---------------------------------------------------------------------------
@@ -279,7 +281,8 @@ def accepted(trees: list, cuts: dict[int, float], c: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """``docs`` with array columns ``pii_base`` and ``pii_spans`` of (start, kind, end), both sorted.
+    """``docs`` with array columns ``pii_base`` and ``pii_spans`` of (start, kind, end), both sorted; where
+    ``docs`` has such columns, the new ones get the first free names after these.
 
     pii_base are the spans of the fixed rules, pii_spans those, the loose ones that format or context speaks
     for and the ones that the trees select. A null or empty text has none; repeated rows get equal spans; an empty table gives an empty result. Apart
@@ -287,10 +290,13 @@ def personal_data(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """
     trees, cuts = train(docs, max_docs)
     span = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
-    base = F.array_sort(F.transform(F.filter("pii_candidates", lambda c: c["base"]), span))
-    every = F.filter("pii_candidates", lambda c: c["base"] | F.coalesce(c["label"], F.lit(False)) | accepted(trees, cuts, c))
+    proposed = F.col(free_name(docs, "pii_candidates"))
+    base = F.array_sort(F.transform(F.filter(proposed, lambda c: c["base"]), span))
+    every = F.filter(proposed, lambda c: c["base"] | F.coalesce(c["label"], F.lit(False)) | accepted(trees, cuts, c))
     return candidates(docs).select(
-        *(docs[c] for c in docs.columns), base.alias("pii_base"), F.array_sort(F.array_distinct(F.transform(every, span))).alias("pii_spans")
+        *docs.columns,
+        base.alias(free_name(docs, "pii_base")),
+        F.array_sort(F.array_distinct(F.transform(every, span))).alias(free_name(docs, "pii_spans")),
     )
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from lexiloom.llm.names import free_name
 from lexiloom.llm import shingles as sh
 
 MAX_TRAIN = 6000
 BITS = 16
 GRADES = 3
 _MEMO: dict[bytes, tuple[int, int]] = {}
+SLICE_TEXTS = 512
 _LETTERS, _UPPER = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[A-Z]+")
 
 
@@ -41,6 +44,10 @@ def _slots(word: bytes) -> tuple[int, int]:
     return known
 
 
+def forget_words() -> None:
+    _MEMO.clear()
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(slots, values): root shares of words, shapes and repeated words; empty for no words."""
     tokens = text.encode("utf-8").split() if text else []
@@ -173,26 +180,34 @@ def score_column(spark, model: Ordinal | None):
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(SCORE)
-    def score(texts: pd.Series) -> pd.DataFrame:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        made = [features(t) for t in texts]
-        if m is None:
-            tails = np.ones((len(made), GRADES - 1))
-        else:
-            tails = m.tails(_scores(made, m.weights))
-        tails[[not len(s) for s, _ in made]] = 0.0
-        return pd.DataFrame({"expected_grade": tails.sum(axis=1), "p_usable": tails[:, 0], "p_good": tails[:, 1]})
+        for texts in batches:
+            parts = [np.zeros((0, GRADES - 1))]
+            for at in range(0, len(texts), SLICE_TEXTS):
+                made = [features(t) for t in texts.iloc[at : at + SLICE_TEXTS]]
+                tails = np.ones((len(made), GRADES - 1)) if m is None else m.tails(_scores(made, m.weights))
+                tails[[not len(s) for s, _ in made]] = 0.0
+                parts.append(tails)
+            tails = np.concatenate(parts)
+            yield pd.DataFrame({"expected_grade": tails.sum(axis=1), "p_usable": tails[:, 0], "p_good": tails[:, 1]})
+        # Workers are used again by later stages, which need the memory.
+        forget_words()
 
     return score
 
 
 def selected(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of ``docs`` that pass, with their scores in a struct column ``quality_score``.
+    """The rows of ``docs`` that pass, with their scores in a last struct column ``quality_score``, or the
+    first free name after it where ``docs`` has such a column.
 
     Null, empty and blank texts are rejected; repeated rows share their fate; labels that are null or
     of unknown documents are left out; an empty table gives an empty result.
     """
     model = train(docs, labels, max_train)
     cut = model.cut if model else 0.5
-    scored = docs.select(*docs.columns, score_column(docs.sparkSession, model)("text").alias("quality_score"))
-    return scored.where(F.col("quality_score.p_usable") >= cut)
+    name = free_name(docs, "quality_score")
+    # Not deterministic for the optimizer, so that filter and result share one run of the model.
+    score = score_column(docs.sparkSession, model).asNondeterministic()
+    scored = docs.select(*docs.columns, score("text").alias(name))
+    return scored.where(F.col(name)["p_usable"] >= cut)
