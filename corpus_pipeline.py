@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lexiloom.llm import pii, quality
 from lexiloom.llm.bpe import digest_columns, encode_documents
 from lexiloom.llm.mixing import repeated_documents
+from lexiloom.llm.names import free_name
 from lexiloom.llm.ngram_join import jaccard_groups
 from lexiloom.session import shared_dir
 
@@ -26,13 +27,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id; rows of one doc_id share its fate."""
-    gone = jaccard_groups(docs).where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*docs.columns)
+    gone = jaccard_groups(docs.select("doc_id", "text")).where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by [KIND], and n_chars follows the text; every document stays."""
-    text = pii.redact(F.col("text"), F.col("pii_spans"))
+    text = pii.redact(F.col("text"), F.col(free_name(docs, "pii_spans")))
     made = {"text": text.alias("text"), "n_chars": F.length(text).cast("bigint").alias("n_chars")}
     return pii.personal_data(docs).select(*(made.get(c, F.col(c)) for c in docs.columns))
 
