@@ -195,7 +195,7 @@ def small_all_pairs(rows: DataFrame, id_col: str = "id", limit: int = BRUTE_FORC
 
 def strategy_weights(docs: DataFrame, strategy: str, **columns: str) -> tuple[DataFrame, str]:
     """Weighted vectors of a corpus and the kernel that compares them."""
-    tf = lexical.corpus_tf(docs, **columns)
+    tf = settle(lexical.corpus_tf(docs, **columns))
     if strategy == "tfidf":
         return lexical.tfidf_weights(tf, lexical.corpus_size(docs)), "cosine"
     if strategy == "bm25":
@@ -239,13 +239,44 @@ def fuse_structural(lexical_score: Column, structural: Column, threshold: float)
     )
 
 
+# Below this bound a search by one signal would read most of its postings.
+LEAST_SINGLE_BOUND = 0.3
+
+
+def fused_bound(threshold: float) -> float:
+    """The lowest score of either signal at which the fused one can still reach the threshold.
+
+    The fusion grows with both signals. The other signal is at most 1, and at most CONCORDANCE_BAND
+    away where the two agree.
+    """
+    mean = threshold / CONCORDANCE_BONUS
+    agree = mean - CONCORDANCE_BAND / 2.0
+    if agree + CONCORDANCE_BAND > 1.0:
+        agree = 2.0 * mean - 1.0
+    differ = (threshold / DISCORDANCE_PENALTY - DISCORDANCE_HIGH) / DISCORDANCE_LOW
+    return max(min(agree, differ), 0.0)
+
+
 def hybrid_scores(docs: DataFrame, threshold: float, **columns: str) -> DataFrame:
-    """(id1, id2, bm25, jsd, sim): BM25 candidates at half the threshold, fused with JSD."""
-    tf = lexical.corpus_tf(docs, **columns)
+    """(id1, id2, bm25, jsd, sim): every pair whose fused BM25 and JSD score reaches the threshold.
+
+    Candidates come from BM25 at the lowest score that the fusion leaves room for. Where that is too low
+    to prune, they are the pairs that reach threshold / CONCORDANCE_BONUS in one signal or the other: with
+    both below it, the fused score is below the threshold. The term table is written once for both.
+    """
+    tf = settle(lexical.corpus_tf(docs, **columns))
     bm25 = lexical.bm25_weights(tf, lexical.corpus_size(docs), lexical.average_length(tf))
-    candidates = similar_pairs(bm25, "cosine", threshold * CANDIDATE_RELAXATION).withColumnRenamed("sim", "bm25")
+    bound = fused_bound(threshold) - 1e-5
+    if bound >= LEAST_SINGLE_BOUND:
+        found = similar_pairs(bm25, "cosine", bound).withColumnRenamed("sim", "bm25")
+    else:
+        either = threshold / CONCORDANCE_BONUS - 1e-5
+        by_bm25 = indexed_vectors(bm25, "cosine", either)
+        met = candidate_pairs(by_bm25, "cosine", either)
+        met = met.unionByName(candidate_pairs(indexed_vectors(lexical.probability_weights(tf), "jsd", either), "jsd", either))
+        found = score_pairs(settle(met.distinct()), by_bm25.select("id", "vec"), "cosine", "bm25")
     shares = packed_vectors(tf.withColumn("w", F.col("n") / F.sum("n").over(W.partitionBy("id"))))
-    both = score_pairs(candidates, shares, "jsd", "jsd")
+    both = score_pairs(found, shares, "jsd", "jsd")
     return both.withColumn("sim", F.round(fuse_lexical(F.col("bm25"), F.col("jsd")), 6)).where(
         F.col("sim") >= threshold
     )

@@ -8,6 +8,7 @@ from lexiloom.functions import text as tx
 from lexiloom.operators import lexical as lx, pairs as pr
 from lexiloom.plans import sqlparts as sp
 from lexiloom.plans.registry import register, table_fn
+from lexiloom.session import settle
 
 T = 0.8
 
@@ -30,7 +31,7 @@ def document_frequency(spark, sf):
 )
 def tfidf_weights(spark, sf):
     docs = table_fn(spark, sf)("documents")
-    weights = lx.tfidf_weights(lx.corpus_tf(docs), lx.corpus_size(docs))
+    weights = lx.tfidf_weights(settle(lx.corpus_tf(docs)), lx.corpus_size(docs))
     return weights.select("id", "term", F.round("w", 6).alias("w"))
 
 
@@ -41,7 +42,7 @@ def tfidf_weights(spark, sf):
 )
 def bm25_weights(spark, sf):
     docs = table_fn(spark, sf)("documents")
-    tf = lx.corpus_tf(docs)
+    tf = settle(lx.corpus_tf(docs))
     weights = lx.bm25_weights(tf, lx.corpus_size(docs), lx.average_length(tf))
     return weights.select("id", "term", F.round("w", 6).alias("w"))
 
