@@ -163,7 +163,7 @@ STYLES = {
 }
 _SAY = {"brand": "p_brand", "name": "p_name || ' ' || p_partkey", "type": "p_type"}
 _NOTE_SQL = " ".join(f"WHEN {k} THEN " + " || ".join(_SAY.get(x) or f"'{x}'" for x in parts) for k, parts in STYLES.items())
-UNIT_SQL = f"""
+UNIT_SQL = rf"""
  un AS (SELECT p_partkey AS unit, lower(p_name) || ' ' || p_partkey AS name, lower(p_brand) AS ns, lower(p_brand) || '/' || p_size AS module, lower(p_brand) AS project,
   CASE WHEN p_size > 40 THEN '' ELSE lower(p_type) END AS base, p_size % 7 = 0 AS inline_doc, p_size AS code_time FROM part),
  fr AS (SELECT l_orderkey || ':' || l_linenumber AS fragment, day(l_shipdate) AS doc_time, CASE l_partkey % 6 {_NOTE_SQL} ELSE 'No remark' END AS text FROM lineitem JOIN part ON l_partkey = p_partkey),
