@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lexiloom.functions import hashing, text as tx
 
-SHARDS = 4
+SHARDS = 2
 CHUNK = 1 << 16
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FOLDED = "id bigint, first bigint, shard int, sig string, bands array<string>"
