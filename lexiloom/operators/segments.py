@@ -5,9 +5,10 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from lexiloom.functions import text as tx
 from lexiloom.operators import lexical as lx
@@ -92,6 +93,77 @@ def adjacent_tfidf_distance(windows: DataFrame) -> DataFrame:
     return paired.select("id", "win", F.round(value, 6).alias("value"), "end_pos")
 
 
+def _text_divergence(words: str, size: int) -> np.ndarray:
+    """TF-IDF distance of each window of ``size`` sentences to the next, the text being the corpus.
+
+    ``words`` holds the tokens of a sentence per line. Every sentence is counted once per window it is in.
+    """
+    lines = [line.split() for line in words.split("\n")]
+    k = len(lines) - size + 1
+    if k < 2:
+        return np.zeros(0)
+    index: dict[str, int] = {}
+    terms = np.array([index.setdefault(t, len(index)) for line in lines for t in line], np.int64)
+    places = np.repeat(np.arange(len(lines)), [len(line) for line in lines])
+    # Keys run by term, then window; one place is left free, so neighbours by 1 share their term.
+    keys = np.concatenate([terms * (k + 1) + places - back for back in range(size)])
+    held = np.concatenate([(places >= back) & (places - back < k) for back in range(size)])
+    keys, counts = np.unique(keys[held], return_counts=True)
+    term, win = keys // (k + 1), keys % (k + 1)
+    df = np.bincount(term, minlength=len(index))
+    weight = (1.0 + np.log(counts)) * (np.log((1.0 + k) / (1.0 + df[term])) + 1.0)
+    square = np.bincount(win, weight * weight, k)
+    follows = np.flatnonzero(np.diff(keys) == 1)
+    dot = np.bincount(win[follows], weight[follows] * weight[follows + 1], k)[: k - 1]
+    scale = np.sqrt(square[:-1] * square[1:])
+    near = np.minimum(np.divide(dot, scale, out=np.zeros(k - 1), where=scale > 0), 1.0)
+    return np.where((square[:-1] == 0) & (square[1:] == 0), 0.0, 1.0 - near)
+
+
+def _divergence_udf(size: int):
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def values(words: pd.Series) -> pd.Series:
+        return pd.Series([_text_divergence(w, size) for w in words], dtype=object)
+
+    return values
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _ends_udf(lens: pd.Series, kept: pd.Series) -> pd.Series:
+    """Ends of the sentences among the consecutive pieces of a text."""
+    return pd.Series([np.cumsum(n, dtype=np.int64)[np.asarray(k, bool)] for n, k in zip(lens, kept)], dtype=object)
+
+
+def _sentence_words(text: Column) -> Column:
+    return F.array_join(tx.word_tokens(text), " ")
+
+
+def _valued(rows: DataFrame, size: int) -> DataFrame:
+    """(id, win, value, end_pos) from (id, words, ends): one row per text, its sentences in order."""
+    valued = rows.select("id", _divergence_udf(size)("words").alias("vals"), "ends")
+    # A plain explode would put a filter with a second run of the whole chain below itself.
+    series = valued.select("id", "ends", F.posexplode_outer("vals").alias("p", "v")).where("v IS NOT NULL")
+    end = F.get("ends", F.col("p") + size - 1)
+    return series.select("id", (F.col("p") + 1).alias("win"), F.round("v", 6).alias("value"), end.alias("end_pos"))
+
+
+def sentence_series(sents: DataFrame, size: int = WINDOW) -> DataFrame:
+    """As adjacent_tfidf_distance of the windows of sentences, each of which is moved and tokenised once."""
+    held = F.struct("sent_no", F.col("end").cast("bigint").alias("end"), _sentence_words(F.col("text")).alias("words"))
+    rows = sents.groupBy("id").agg(F.sort_array(F.collect_list(held)).alias("s"))
+    return _valued(rows.select("id", F.array_join("s.words", "\n").alias("words"), F.col("s.end").alias("ends")), size)
+
+
+def text_series(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same from whole texts with unique ids: narrow, no row per sentence and no shuffle."""
+    cut = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), pieces(F.col(text)).alias("ps"))
+    part = F.transform("ps", lambda p: F.struct(F.char_length(p).alias("len"), (tx.trim_blanks(p) != "").alias("full"), _sentence_words(p).alias("words")))
+    parts = cut.select("id", part.alias("parts"))
+    full = F.filter("parts", lambda p: p["full"])
+    rows = parts.select("id", F.array_join(F.transform(full, lambda p: p["words"]), "\n").alias("words"), F.col("parts.len").alias("lens"), F.col("parts.full").alias("kept"))
+    return _valued(rows.select("id", "words", _ends_udf("lens", "kept").alias("ends")), size)
+
+
 def compressed_size(text: str) -> int:
     return len(zlib.compress(text.encode("utf-8"), 6))
 
@@ -413,7 +485,7 @@ def refined_cuts(rows: DataFrame, sents: DataFrame, window: int, floor: float, l
     numbered = inside.select(part, F.row_number().over(W.partitionBy("id", "a").orderBy("sent_no")).alias("sent_no"), "text", "start", "end")
     half = max(window // 2, 1)
     enough = numbered.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > half).select("id")
-    series = packed_series(adjacent_tfidf_distance(sentence_windows(numbered.join(enough, "id", "left_semi"), half)))
+    series = packed_series(sentence_series(numbered.join(enough, "id", "left_semi"), half))
     middle = F.get(F.sort_array("vals", asc=False), F.floor(F.size("vals") / 2).cast("int"))
     keyed = chunks.join(series.select("id.id", "id.a", "vals", "spots"), ["id", "a"], "left")
     wanted = F.filter(_at_peaks(F.greatest(middle, F.lit(floor))), lambda p: (p > F.col("a")) & (p < F.col("b")))
@@ -443,13 +515,13 @@ def segment_refined(
 def segment_by_divergence(docs: DataFrame, threshold: float = DIVERGENCE_THRESHOLD, window: int = WINDOW, **sizes: int) -> DataFrame:
     """Cuts where the divergence of neighbouring windows peaks over a fixed threshold."""
     sents = settle(sentences(docs))
-    return segment_by_series(docs, sents, adjacent_tfidf_distance(sentence_windows(sents, window)), threshold, window, **sizes)
+    return segment_by_series(docs, sents, text_series(docs, window), threshold, window, **sizes)
 
 
 def segment_by_tfidf(docs: DataFrame, threshold: float = TFIDF_THRESHOLD, window: int = WINDOW, **sizes: int) -> DataFrame:
     """The same over robustly scaled divergence."""
     sents = settle(sentences(docs))
-    series = adjacent_tfidf_distance(sentence_windows(sents, window))
+    series = text_series(docs, window)
     scaled = robust_scaled(series, "value", "id").select("id", "win", F.col("scaled").alias("value"), "end_pos")
     return segment_by_series(docs, sents, scaled, threshold, window, **sizes)
 
@@ -457,7 +529,7 @@ def segment_by_tfidf(docs: DataFrame, threshold: float = TFIDF_THRESHOLD, window
 def segment_adaptive(docs: DataFrame, share: float = ADAPTIVE_SHARE, floor: float = ADAPTIVE_FLOOR, window: int = WINDOW, **sizes: int) -> DataFrame:
     """Window divergence with a threshold taken from each document's own values."""
     sents = settle(sentences(docs))
-    return segment_refined(docs, sents, adjacent_tfidf_distance(sentence_windows(sents, window)), share, floor, window, **sizes)
+    return segment_refined(docs, sents, settle(text_series(docs, window)), share, floor, window, **sizes)
 
 
 def segment_hybrid(docs: DataFrame, share: float = ADAPTIVE_SHARE, floor: float = ADAPTIVE_FLOOR, window: int = WINDOW, **sizes: int) -> DataFrame:
@@ -465,9 +537,9 @@ def segment_hybrid(docs: DataFrame, share: float = ADAPTIVE_SHARE, floor: float
     sents = settle(sentences(docs))
     wins = sentence_windows(sents, window)
     ncd = adjacent_compression_distance(wins).select("id", "win", F.col("value").alias("ncd"))
-    both = adjacent_tfidf_distance(wins).withColumnRenamed("value", "tfidf").join(ncd, ["id", "win"])
+    both = text_series(docs, window).withColumnRenamed("value", "tfidf").join(ncd, ["id", "win"])
     fused = rank_fusion(both, ["tfidf", "ncd"], "id", "win").select("id", "win", F.col("fused").alias("value"), "end_pos")
-    return segment_refined(docs, sents, fused, share, floor, window, **sizes)
+    return segment_refined(docs, sents, settle(fused), share, floor, window, **sizes)
 
 
 #: Strategies by name: docs (doc_id, text) to (id, seg_no, start, end).

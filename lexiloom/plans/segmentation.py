@@ -39,7 +39,7 @@ def _windows(spark, sf):
 
 
 def _series(spark, sf):
-    return sg.adjacent_tfidf_distance(_windows(spark, sf))
+    return sg.text_series(_docs(spark, sf))
 
 
 @register("sentences", "T1 D14", f"WITH {SENT} SELECT * FROM sents")
