@@ -168,10 +168,13 @@ def fragment_keys(fragments: DataFrame, max_words: int = 1) -> DataFrame:
     """(key, fragment): the first fragment that holds a key; fragments (fragment, text).
 
     Keys are runs of up to ``max_words`` words as written, with the dots, colons and backticks that join or
-    enclose them, and the same without backticks; single words also stand for file names. Only the
+    enclose them, and the same without backticks; single words also stand for file names. Equal texts
+    have equal keys, so the first fragment of each text stands for the rest. Only the
     first fragment is needed for a best match, and it is found map-side, so a word that fills the
     corpus stays one row.
     """
+    fragments = fragments.where("text IS NOT NULL").groupBy("text").agg(F.min("fragment").alias("fragment"))
+
     def runs(atoms: Column) -> Column:
         lengths = F.array(*(F.lit(n) for n in range(1, max_words + 1)))
         starts = lambda n: F.when(F.size(atoms) >= n, F.sequence(F.lit(1), F.size(atoms) - n + 1)).otherwise(F.array().cast("array<int>"))
