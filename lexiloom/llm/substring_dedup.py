@@ -136,7 +136,7 @@ def anchors(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, total.view(np.int64)
 
 
-OCCURRENCES = "doc_id bigint, kind int, at bigint, n_words bigint, unit bigint, bands array<bigint>"
+OCCURRENCES = "doc_id bigint, kind int, at bigint, n_words bigint, unit bigint, bands array<bigint>, n_shingles int"
 
 
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -151,11 +151,13 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _rows(parts: list[tuple], sets: list[np.ndarray], fresh: list[int]) -> pd.DataFrame:
-    """OCCURRENCES of some documents; ``fresh`` are the rows that carry the bands of ``sets``."""
+    """OCCURRENCES of some documents; ``fresh`` are the rows that carry the bands and sizes of ``sets``."""
     sizes = [len(p[2]) for p in parts]
     bands = np.full(sum(sizes), None, dtype=object)
+    n_shingles = np.zeros(sum(sizes), np.int32)
     if sets:
         bands[fresh] = np.fromiter(band_keys(sets), object, len(sets))
+        n_shingles[fresh] = [len(s) for s in sets]
     return pd.DataFrame(
         {
             "doc_id": np.repeat([p[0] for p in parts], sizes),
@@ -164,6 +166,7 @@ def _rows(parts: list[tuple], sets: list[np.ndarray], fresh: list[int]) -> pd.Da
             "n_words": np.concatenate([p[3] for p in parts]),
             "unit": np.concatenate([p[4] for p in parts]),
             "bands": bands,
+            "n_shingles": n_shingles,
         }
     )
 
@@ -238,11 +241,16 @@ def _colliding_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def paragraph_labels(docs: DataFrame, seen: DataFrame) -> DataFrame:
-    """(unit, component) of paragraphs with a near copy of other words. Equal ones are banded once."""
-    distinct = seen.where("kind = 0 AND bands IS NOT NULL").select("unit", "bands").dropDuplicates(["unit"])
-    routes = settle(sh.hubs(distinct.select(F.explode("bands").alias("key"), F.col("unit").alias("id"))))
-    sets = settle(_colliding_sets(docs, routes.select("id").distinct()))
-    sized = sets.select("id", (F.length("items") / 8).cast("bigint").alias("n"))
+    """(unit, component) of paragraphs with a near copy of other words. Equal ones are banded once.
+
+    Sizes come with the bands, so meetings are arranged without the sets, which travel twice: to be
+    told apart by id, where the meetings join them, and to the meetings.
+    """
+    banded = seen.where("kind = 0 AND bands IS NOT NULL").select(F.col("unit").alias("id"), "bands", F.col("n_shingles").cast("bigint").alias("n"))
+    distinct = banded.select("id", "bands").dropDuplicates(["id"])
+    routes = settle(sh.hubs(distinct.select(F.explode("bands").alias("key"), "id")))
+    sets = _colliding_sets(docs, routes.select("id").distinct())
+    sized = banded.select("id", "n").distinct()
     met = nj.meetings(routes.join(sized, "id").select("id", "hub", "n", F.lit(1).alias("copies")))
     labels = nj.class_labels(nj.compare_sets(met.join(sets, "id")))
     return labels.select(F.col("id").alias("unit"), "component")
