@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -116,6 +117,35 @@ def test_tree_similarity(spark):
     assert got == {(1, 2): 0.666667, (1, 3): 0.75, (2, 3): 0.5}
 
 
+def test_bounded_tree_distance_is_exact_up_to_its_limit():
+    def shape(seed: int):
+        rnd = random.Random(seed)
+        labels, parents, stack = [], [], []
+        for i in range(rnd.randrange(1, 14)):
+            while stack and rnd.random() < 0.4:
+                stack.pop()
+            parents.append(stack[-1] if stack else -1)
+            labels.append(rnd.choice("abc"))
+            stack.append(i)
+        return tr._shape(labels, parents, False)
+
+    for seed in range(0, 400, 2):
+        a, b = shape(seed), shape(seed + 1)
+        exact = tr.edit_distance(a, b)
+        for limit in (0.0, 2.0, 5.0, 9.0):
+            found = tr.edit_distance(a, b, limit=limit)
+            assert found == exact if exact <= limit else found >= exact
+
+
+def test_tree_pairs_are_compared_in_many_tasks(spark):
+    pages = spark.createDataFrame([(i, "<a>" + "<b></b>" * i + "</a>") for i in range(30, 70)], "page_id long, html string")
+    found = tr.similar_trees(tr.markup_trees(pages), 0.9)
+    tasks = found.select(F.spark_partition_id().alias("task")).distinct().count()
+    got = {(r["id1"], r["id2"]): r["sim"] for r in found.collect()}
+    assert got == {(i, j): round(1 - (j - i) / (j + 1), 6) for i in range(30, 70) for j in range(i + 1, 70) if j - i <= 0.1 * (j + 1)}
+    assert tasks > 1
+
+
 def test_user_scores_do_not_depend_on_corpus_size(spark):
     from lexiloom.operators import candidates
     from lexiloom.plans.dedup import jaccard_score
