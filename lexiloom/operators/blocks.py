@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lexiloom.session import settle
+
 ITEM_BLOCK = 1024
 QUERY_BLOCK = 256
 FOUND = "qid bigint, id {kind}, grp string, score double"
@@ -108,3 +110,68 @@ def block_topk(items: DataFrame, queries: DataFrame, k: int, group: str | None =
     if group:
         return best.select("qid", "id", F.when(F.col("grp") != "", F.substring("grp", 2, 1 << 30)).alias(group), "score", "rank")
     return best.select("qid", "id", "score", "rank")
+
+
+# Products of a query's and an item's weight that are held at once.
+MEETINGS = 1 << 21
+
+
+def shared_scores(q: tuple[np.ndarray, ...], i: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Inner products (queries x items) of two blocks of sparse vectors, each (sizes, positions, weights).
+
+    Every item entry meets the queries that hold its position; positions may be any numbers.
+    """
+    (qs, qp, qw), (ns, ip, iw) = q, i
+    order = np.argsort(qp, kind="stable")
+    query, qp, qw = np.repeat(np.arange(len(qs)), qs)[order], qp[order], qw[order]
+    item = np.repeat(np.arange(len(ns)), ns)
+    low, high = np.searchsorted(qp, ip, "left"), np.searchsorted(qp, ip, "right")
+    ends = np.cumsum(high - low)
+    scores = np.zeros(len(qs) * len(ns))
+    at = 0
+    while at < len(ip):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + MEETINGS, "right")))
+        n = (high - low)[at:stop]
+        own = np.repeat(np.arange(at, stop), n)
+        met = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + low[own]
+        scores += np.bincount(query[met] * len(ns) + item[own], qw[met] * iw[own], len(scores))
+        at = stop
+    return scores.reshape(len(qs), len(ns))
+
+
+def named_vectors(rows: DataFrame, terms: DataFrame, name: str) -> DataFrame:
+    """(name, pos, w) of (id, term, w) rows, scaled to length 1 over all terms; ``terms`` (term, pos) alone are kept."""
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "w"))
+    packed = rows.join(terms, "term", "left").groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(entry).alias("e"))
+    packed = packed.where((F.col("norm") > 0) & (F.size("e") > 0))
+    return packed.select(F.col("id").alias(name), F.col("e.pos").alias("pos"), F.transform("e.w", lambda w: w / F.col("norm")).alias("w"))
+
+
+def best_pairs(left: DataFrame, right: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(lid, rid, sim): cosine of (id, term, w) rows with positive weights, rounded to six decimals.
+
+    Holds every pair from ``threshold`` on and the ``k`` best of each left id, ties to the smaller right id;
+    of the other pairs that share a term only those that are among the k best of a block. Ids are strings.
+    """
+    terms = settle(left.select("term").distinct().withColumn("pos", F.monotonically_increasing_id()))
+    items, queries = (settle(named_vectors(rows, terms, name)) for rows, name in ((right, "id"), (left, "qid")))
+    packed, cells = _packed(items, "id", ITEM_BLOCK, F.lit(""), "i_")
+    asked, _ = _packed(queries, "qid", QUERY_BLOCK, F.lit(""), "q_")
+    everywhere = asked.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                row = {c: batch[c][n].values for c in batch.schema.names if c != "block"}
+                side = lambda p: tuple(row[p + c].to_numpy(zero_copy_only=False) for c in ("sizes", "pos", "w"))  # noqa: E731, B023
+                scores = np.minimum(shared_scores(side("q_"), side("i_")), 1.0)
+                rounded = np.where(scores > 0, np.round(scores, 6), -1.0)
+                chosen = rounded >= threshold
+                # Items are in order of id, so a stable sort breaks ties by id.
+                np.put_along_axis(chosen, np.argsort(-rounded, axis=1, kind="stable")[:, :k], True, 1)
+                q, i = np.nonzero(chosen & (scores > 0))
+                yield pa.record_batch([row["q_ids"].take(pa.array(q)), row["i_ids"].take(pa.array(i)), pa.array(scores[q, i])], names=["lid", "rid", "sim"])
+
+    met = packed.join(everywhere, "block").mapInArrow(run, "lid string, rid string, sim double")
+    return met.select("lid", "rid", F.round("sim", 6).alias("sim"))
