@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lexiloom.session import settle
@@ -112,16 +113,26 @@ def block_topk(items: DataFrame, queries: DataFrame, k: int, group: str | None =
     return best.select("qid", "id", "score", "rank")
 
 
-# Products of a query's and an item's weight that are held at once.
+# Products of a query's and an item's weight, or entries of two matrices, that are held at once.
 MEETINGS = 1 << 21
 
 
 def shared_scores(q: tuple[np.ndarray, ...], i: tuple[np.ndarray, ...]) -> np.ndarray:
     """Inner products (queries x items) of two blocks of sparse vectors, each (sizes, positions, weights).
 
-    Every item entry meets the queries that hold its position; positions may be any numbers.
+    Positions may be any numbers. Blocks of queries with few of them become two matrices; otherwise
+    every item entry meets the queries that hold its position.
     """
     (qs, qp, qw), (ns, ip, iw) = q, i
+    dims = np.unique(qp)
+    if len(dims) * (len(qs) + len(ns)) <= MEETINGS:
+        at = np.searchsorted(dims, ip)
+        held = at < len(dims)
+        held[held] = dims[at[held]] == ip[held]
+        left, right = np.zeros((len(qs), len(dims))), np.zeros((len(ns), len(dims)))
+        left[np.repeat(np.arange(len(qs)), qs), np.searchsorted(dims, qp)] = qw
+        right[np.repeat(np.arange(len(ns)), ns)[held], at[held]] = iw[held]
+        return left @ right.T
     order = np.argsort(qp, kind="stable")
     query, qp, qw = np.repeat(np.arange(len(qs)), qs)[order], qp[order], qw[order]
     item = np.repeat(np.arange(len(ns)), ns)
@@ -151,27 +162,60 @@ def named_vectors(rows: DataFrame, terms: DataFrame, name: str) -> DataFrame:
 def best_pairs(left: DataFrame, right: DataFrame, k: int, threshold: float) -> DataFrame:
     """(lid, rid, sim): cosine of (id, term, w) rows with positive weights, rounded to six decimals.
 
-    Holds every pair from ``threshold`` on and the ``k`` best of each left id, ties to the smaller right id;
-    of the other pairs that share a term only those that are among the k best of a block. Ids are strings.
+    Holds the pairs that share a term and either reach ``threshold`` or are among the ``k`` best of their
+    left id, ties to the smaller right id. Ids are strings.
     """
     terms = settle(left.select("term").distinct().withColumn("pos", F.monotonically_increasing_id()))
     items, queries = (settle(named_vectors(rows, terms, name)) for rows, name in ((right, "id"), (left, "qid")))
-    packed, cells = _packed(items, "id", ITEM_BLOCK, F.lit(""), "i_")
-    asked, _ = _packed(queries, "qid", QUERY_BLOCK, F.lit(""), "q_")
-    everywhere = asked.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    return best_of_vectors(items, queries, k, threshold)
+
+
+def blocks_of(vectors: DataFrame, key: str, size: int, prefix: str) -> DataFrame:
+    """Rows (ids, sizes, pos, w) of at most ``size`` vectors each, in order of id, flat; packed where they are read."""
+    kind = f"{prefix}ids array<string>, {prefix}sizes array<int>, {prefix}pos array<bigint>, {prefix}w array<double>"
+    names = [prefix + c for c in ("ids", "sizes", "pos", "w")]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                part = part.take(pc.sort_indices(part["k"]))
+                flat = [part["k"], pc.list_value_length(part["pos"]).cast(pa.int32()), pc.list_flatten(part["pos"]), pc.list_flatten(part["w"])]
+                yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in flat], names=names)
+
+    return vectors.select(F.col(key).alias("k"), F.col("pos").cast("array<bigint>"), "w").mapInArrow(pack, kind)
+
+
+def _first(scores: np.ndarray, k: int) -> np.ndarray:
+    """Where the k largest entries of each row stand, the first ones on ties; entries below 0 may count or not."""
+    if scores.shape[1] <= k:
+        return np.ones(scores.shape, bool)
+    found = scores >= np.maximum(np.partition(scores, -k, axis=1)[:, -k, None], 0.0)
+    for row in np.flatnonzero(found.sum(axis=1) > k):
+        found[row] = False
+        found[row, np.argsort(-scores[row], kind="stable")[:k]] = True
+    return found
+
+
+def best_of_vectors(items: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``best_pairs`` of unit vectors (id, pos, w) and (qid, pos, w), written once; positions are any numbers.
+
+    Each block of queries meets each block of items; what a block can't rule out is ranked once more.
+    """
+    asked = settle(blocks_of(queries, "qid", QUERY_BLOCK, "q_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
-                row = {c: batch[c][n].values for c in batch.schema.names if c != "block"}
+                row = {c: batch[c][n].values for c in batch.schema.names}
                 side = lambda p: tuple(row[p + c].to_numpy(zero_copy_only=False) for c in ("sizes", "pos", "w"))  # noqa: E731, B023
                 scores = np.minimum(shared_scores(side("q_"), side("i_")), 1.0)
                 rounded = np.where(scores > 0, np.round(scores, 6), -1.0)
-                chosen = rounded >= threshold
-                # Items are in order of id, so a stable sort breaks ties by id.
-                np.put_along_axis(chosen, np.argsort(-rounded, axis=1, kind="stable")[:, :k], True, 1)
-                q, i = np.nonzero(chosen & (scores > 0))
+                q, i = np.nonzero((rounded >= threshold) | _first(rounded, k) & (rounded >= 0))
                 yield pa.record_batch([row["q_ids"].take(pa.array(q)), row["i_ids"].take(pa.array(i)), pa.array(scores[q, i])], names=["lid", "rid", "sim"])
 
-    met = packed.join(everywhere, "block").mapInArrow(run, "lid string, rid string, sim double")
-    return met.select("lid", "rid", F.round("sim", 6).alias("sim"))
+    met = blocks_of(items, "id", ITEM_BLOCK, "i_").crossJoin(asked).mapInArrow(run, "lid string, rid string, sim double")
+    met = settle(met.select("lid", "rid", F.round("sim", 6).alias("sim")))
+    rank = F.row_number().over(W.partitionBy("lid").orderBy(F.desc("sim"), "rid"))
+    best = met.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    return met.where(F.col("sim") >= threshold).unionByName(best.where(F.col("sim") < threshold))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as tx
-from lexiloom.operators import align as al, blocks as bl, divergence as dv
+from lexiloom.operators import align as al, weighted as we
 from lexiloom.plans import sqlparts as sp
 from lexiloom.plans.corpora import BOTH, _both
 from lexiloom.plans.registry import register, table_fn
@@ -30,8 +30,7 @@ TRACE = f"""{BOTH},
 def trace(spark, sf):
     """Edges of all requirements, written once for all that is read from them."""
     docs = _both(spark, sf)
-    weights = settle(dv.sided_weights(docs).select("id", "term", "w"))
-    sims = bl.best_pairs(weights.where("id LIKE 'a:%'"), weights.where("id LIKE 'b:%'"), al.MIN_EDGES, al.lowest_limit(THRESHOLD))
+    sims = we.bm25_pairs(docs, al.MIN_EDGES, al.lowest_limit(THRESHOLD))
     key = F.concat_ws(":", "side", F.col("id").cast("string"))
     numbers = docs.select("side", key.alias("id"), F.explode(tx.matches(F.col("text"), "[0-9]{2,}")).alias("literal")).distinct()
     overlaps = al.literal_overlaps(
